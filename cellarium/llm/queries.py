@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellarium.llm import components, survivors
+from cellarium.llm import components, neighbours, survivors
 from cellarium.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -45,3 +46,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_survivors")
 def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.build_survivors(_members(spark, d))
+
+
+@query(
+    "p2_found",
+    """with v as (
+      select id, s, sqrt(list_dot_product(s, s)) n from (select *, coalesce(sensory, [0.0::double]) s from gold)
+      where entity_type = 'product' and list_dot_product(s, s) > 0
+        and json_extract_string(record, '$.sensory.source') is not null and json_extract_string(record, '$.sensory.source') <> 'style_prior'),
+    c as (select a.id a, b.id b, round(list_dot_product(a.s, b.s) / a.n / b.n, 10) c from v a, v b where a.id <> b.id),
+    r as (select a, b, row_number() over (partition by a order by c desc, b) k from c where c >= 0.999)
+    select distinct least(a, b) id_a, greatest(a, b) id_b from r where k <= 5""",
+)
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.taste_pairs(table(spark, d, "gold"))
+
+
+@query("p2_knn_embeddings")
+def p2_knn_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return neighbours.most_similar(e, "vec_id", "embedding", k=10, queries=F.col("id") % 50 == 0)
