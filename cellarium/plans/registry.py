@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellarium.operators.impute import filled_cells
 from cellarium.operators.units import stated_sizes
 from cellarium.session import table
 
@@ -30,3 +31,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return stated_sizes(table(spark, d, "ttb_cola_sample"), table(spark, d, "demo_products"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return filled_cells(table(spark, d, "ttb_cola_sample"), table(spark, d, "demo_products")).select("src", "row_id", "field_name")
+
+
+@query("p4_filled")
+def p4_filled(spark: SparkSession, d: str) -> DataFrame:
+    return filled_cells(table(spark, d, "ttb_cola_sample"), table(spark, d, "demo_products"))
