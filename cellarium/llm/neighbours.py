@@ -188,14 +188,14 @@ def search(index: DataFrame, queries: DataFrame, k: int, min_cos: float = -1.0)
     q_blocks = F.create_map(*[F.lit(int(x)) for p, (_, m) in sizes.items() for x in (p, -(-m // QUERY_BLOCK) or 1)]) if sizes else F.create_map(F.lit(0), F.lit(1))
     part = F.element_at("parts", 1)
     stored = index.select("point", "x", part.alias("part"))
-    stored = stored.withColumn("block", F.pmod(F.xxhash64("point"), blocks[F.col("part")]).cast("int"))
+    stored = stored.withColumn("block", F.pmod(F.xxhash64("point"), blocks[F.col("part")].cast("long")).cast("int"))
     asked = queries.select(F.col("point").alias("q"), F.col("x").alias("y"), F.explode("parts").alias("part"))
     asked = asked.withColumn("q_block", F.pmod(F.xxhash64("q"), q_blocks[F.col("part")]).cast("int"))
     if q_spread > 1:
-        stored = stored.withColumn("q_block", F.explode(F.sequence(F.lit(0), q_blocks[F.col("part")] - 1)).cast("int"))
+        stored = stored.withColumn("q_block", F.explode(F.sequence(F.lit(0), q_blocks[F.col("part")] - 1)))
     else:
         stored = stored.withColumn("q_block", F.lit(0))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)).cast("int") if spread > 1 else F.lit(0))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)) if spread > 1 else F.lit(0))
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return rank_block(a["point"].to_numpy(), unpack(a["x"]), b["q"].to_numpy(), unpack(b["y"]), k, min_cos)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm import components, neighbours, survivors
+from cellarium.llm import canonical, components, neighbours, survivors
 from cellarium.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -51,7 +51,7 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "p2_found",
     """with v as (
-      select id, s, sqrt(list_dot_product(s, s)) n from (select *, coalesce(sensory, [0.0::double]) s from gold)
+      select id, s, sqrt(list_dot_product(s, s)) n from (select *, case when sensory is null or len(list_filter(sensory, lambda x: x is null)) > 0 then [0.0::double] else sensory end s from gold)
       where entity_type = 'product' and list_dot_product(s, s) > 0
         and json_extract_string(record, '$.sensory.source') is not null and json_extract_string(record, '$.sensory.source') <> 'style_prior'),
     c as (select a.id a, b.id b, round(list_dot_product(a.s, b.s) / a.n / b.n, 10) c from v a, v b where a.id <> b.id),
@@ -66,3 +66,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_knn_embeddings(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return neighbours.most_similar(e, "vec_id", "embedding", k=10, queries=F.col("id") % 50 == 0)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_typed_values(table(spark, d, "ttb_cola_sample"), table(spark, d, "demo_products"), table(spark, d, "canon_list"))
