@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm import canonical, components, neighbours, survivors
+from cellarium.llm import canonical, components, entities, neighbours, survivors
 from cellarium.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,13 @@ def p2_knn_embeddings(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_typed_values(table(spark, d, "ttb_cola_sample"), table(spark, d, "demo_products"), table(spark, d, "canon_list"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return entities.match_entities(table(spark, d, "ttb_cola_sample"), table(spark, d, "gold")).select("ttb_id", "gold_id")
+
+
+@query("p6_matches")
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    return entities.match_entities(table(spark, d, "ttb_cola_sample"), table(spark, d, "gold"))
