@@ -270,9 +270,12 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_cos:
 
 
 def own_taste(gold: DataFrame) -> DataFrame:
-    """Products whose vector is their own: the source is given and is not the style."""
+    """Products whose vector is their own: the source is given and is not the style.
+
+    The type is compared without case and blanks, as entity types are entered like any other text.
+    """
     source = F.trim(F.get_json_object("record", "$.sensory.source"))
-    return gold.where("entity_type = 'product'").where(F.col("sensory").isNotNull()).where((source != "") & (F.lower(source) != "style_prior")).select("id", "sensory")
+    return gold.where(F.lower(F.trim("entity_type")) == "product").where(F.col("sensory").isNotNull()).where((source != "") & (F.lower(source) != "style_prior")).select("id", "sensory")
 
 
 def taste_pairs(gold: DataFrame, k: int = 5, min_cos: float = 0.999) -> DataFrame:
