@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm import canonical, components, entities, neighbours, survivors
+from cellarium.llm import canonical, components, entities, neighbours, quality, survivors
 from cellarium.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -81,3 +81,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_matches")
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     return entities.match_entities(table(spark, d, "ttb_cola_sample"), table(spark, d, "gold"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality_report(table(spark, d, "documents")).where("is_junk").select("doc_id")
+
+
+@query("p10_statistics")
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality_report(table(spark, d, "documents"))
