@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm import canonical, components, entities, neighbours, quality, survivors
+from cellarium.llm import canonical, components, entities, mixing, neighbours, packing, quality, survivors
+from cellarium.llm.tokens import count_tokens
 from cellarium.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -91,3 +92,30 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_statistics")
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_report(table(spark, d, "documents"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "documents").where("text is not null").select("doc_id", count_tokens(F.col("text")).alias("tokens"))
+    return packing.pack_all(sizes, table(spark, d, "pack_sizes"))
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+@query("p8_fill")
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+@query("p9_selection")
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    sized = mixing.sized_documents(table(spark, d, "documents"), count_tokens(F.col("text")))
+    return mixing.select_mix(sized, table(spark, d, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.share_report(mixing.select_mix(mixing.sized_documents(table(spark, d, "documents"), count_tokens(F.col("text"))), targets), targets)
