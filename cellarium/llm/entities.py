@@ -24,7 +24,7 @@ from cellarium.functions.stated import says_nothing, stated_abv
 from cellarium.session import materialise
 
 #: Least marginal probability of a match, most rounds of messages, and when they have settled.
-ACCEPT, ROUNDS, SETTLED = 0.5, 8, 1e-3
+ACCEPT, ROUNDS, SETTLED = 0.5, 6, 0.02
 
 # Words that may follow a brand without being part of it.
 HOUSE_WORDS = {"brewing", "brewery", "cellars", "co", "company", "spirits", "distillers", "distilling", "winery", "llc", "inc", "ltd", "estates", "beverage", "works"}
@@ -203,32 +203,35 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return p.select("l", "r", (brand + name + number + code + strength - 4.0).alias("prior"), F.when(full, F.lit("")).otherwise(short).alias("l_rival"), F.when(fits, F.lit("")).otherwise(drink("a")).alias("r_rival"))
 
 
-def _message(pairs: DataFrame, node: str, rival: str, odds: str, out: str) -> DataFrame:
-    """Log message of the at-most-one-drink factor of ``node``: minus log of one plus its other drinks' odds."""
-    best = pairs.groupBy(node, rival).agg(F.max(F.exp(F.least(odds, F.lit(30.0)))).alias("best"))
-    total = best.groupBy(node).agg(F.sum("best").alias("total"))
-    return pairs.join(best, [node, rival]).join(total, node).withColumn(out, -F.log1p(F.greatest(F.col("total") - F.col("best"), F.lit(0.0)))).drop("best", "total")
-
-
 def propagate(scored: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``l, r, prob``: marginal probability of every candidate pair."""
+    """``l, r, prob``: marginal probability of every candidate pair.
+
+    A pair has one row per node, so both factors send their messages in the same joins: to a pair at
+    a node, minus log of one plus the odds of the node's other drinks. Odds of a drink are those of
+    its best pair.
+    """
     scored = materialise(scored.where("prior > -6"))
-    rivals = lambda node, rival: scored.groupBy(node).agg(F.countDistinct(rival).alias("n")).where("n > 1").select(node)
-    at_l, at_r = rivals("l", "l_rival").withColumn("cl", F.lit(1)), rivals("r", "r_rival").withColumn("cr", F.lit(1))
-    marked = scored.join(at_l, "l", "left").join(at_r, "r", "left")
-    free = marked.where("cl is null and cr is null").select("l", "r", F.col("prior").alias("logodds"))
-    now = materialise(marked.where("cl is not null or cr is not null").select("l", "r", "prior", "l_rival", "r_rival", F.lit(0.0).alias("from_l"), F.lit(0.0).alias("from_r")))
+    ends = lambda df, *keep: df.select("l", "r", *keep, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("node"), F.col("l_rival").alias("rival")), F.struct(F.lit(1).alias("side"), F.col("r").alias("node"), F.col("r_rival").alias("rival")))).alias("end")).select("l", "r", *keep, "end.*")
+    contested = ends(scored).groupBy("side", "node").agg(F.min("rival").alias("a"), F.max("rival").alias("b")).where("a <> b").select("side", "node")
+    tied = ends(scored).join(contested, ["side", "node"], "left_semi").select("l", "r").distinct().withColumn("tied", F.lit(True))
+    marked = scored.join(tied, ["l", "r"], "left")
+    free = marked.where("tied is null").select("l", "r", F.col("prior").alias("logodds"))
+    now = materialise(marked.where("tied").select("l", "r", "prior", "l_rival", "r_rival", F.array(F.lit(0.0), F.lit(0.0)).alias("m"), F.lit(0.0).alias("moved")))
     for _ in range(rounds):
-        to_l = now.withColumn("to_l", F.col("prior") + F.col("from_r")).withColumn("to_r", F.col("prior") + F.col("from_l"))
-        new = _message(_message(to_l, "l", "l_rival", "to_l", "new_l"), "r", "r_rival", "to_r", "new_r")
-        half = lambda old, fresh: (F.col(old) + F.col(fresh)) / 2
-        new = new.select("l", "r", "prior", "l_rival", "r_rival", half("from_l", "new_l").alias("from_l"), half("from_r", "new_r").alias("from_r"), F.greatest(F.abs(F.col("new_l") - F.col("from_l")), F.abs(F.col("new_r") - F.col("from_r"))).alias("moved"))
-        now = materialise(new)
+        # What a pair tells a node leaves out what the node told the pair.
+        told = ends(now.withColumn("total", F.col("prior") + F.col("m")[0] + F.col("m")[1]), "m", "total").withColumn("told", F.col("total") - F.get("m", F.col("side")))
+        best = told.groupBy("side", "node", "rival").agg(F.max(F.exp(F.least("told", F.lit(30.0)))).alias("best"))
+        node = best.groupBy("side", "node").agg(F.sum("best").alias("total"))
+        sent = told.select("l", "r", "side", "node", "rival").join(best, ["side", "node", "rival"]).join(node, ["side", "node"])
+        message = -F.log1p(F.greatest(F.col("total") - F.col("best"), F.lit(0.0)))
+        got = sent.groupBy("l", "r").agg(F.max(F.when(F.col("side") == 0, message)).alias("m0"), F.max(F.when(F.col("side") == 1, message)).alias("m1"))
+        fresh = F.array("m0", "m1")
+        now = materialise(now.drop("moved").join(got, ["l", "r"]).select("l", "r", "prior", "l_rival", "r_rival", fresh.alias("m"), F.greatest(F.abs(F.col("m0") - F.col("m")[0]), F.abs(F.col("m1") - F.col("m")[1])).alias("moved")))
         moved = now.agg(F.max("moved")).first()[0]
         if moved is None or moved < SETTLED:
             break
-    tied = now.select("l", "r", (F.col("prior") + F.col("from_l") + F.col("from_r")).alias("logodds"))
-    return free.unionByName(tied).select("l", "r", (1 / (1 + F.exp(-F.col("logodds")))).alias("prob"))
+    settled = now.select("l", "r", (F.col("prior") + F.col("m")[0] + F.col("m")[1]).alias("logodds"))
+    return free.unionByName(settled).select("l", "r", (1 / (1 + F.exp(-F.col("logodds")))).alias("prob"))
 
 
 def match_entities(filings: DataFrame, gold: DataFrame, accept: float = ACCEPT) -> DataFrame:
