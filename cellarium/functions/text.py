@@ -108,3 +108,8 @@ def bigram_dice(a: Column, b: Column) -> Column:
     common = F.aggregate(F.transform(kinds, lambda k: F.least(count(pa, k), count(pb, k))), F.lit(0), lambda s, x: s + x)
     total = F.size(pa) + F.size(pb)
     return F.when(total == 0, F.lit(0.0)).otherwise(2 * common / total)
+
+
+def deletions(word: Column) -> Column:
+    """The word without any one letter; two words within one edit share one of these or themselves."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))

@@ -47,10 +47,12 @@ def txt_trigram_similarity(spark, d):
     return g.join(h, "r").where("a < b").select("a", "b", F.round(T.jaccard(F.col("ta"), F.col("tb")), 9).alias("sim"))
 
 
-@query("txt_one_edit", "with b as (select distinct lower(brand_name) b, lower(brand_name)[-5:] k from ttb_cola_sample where brand_name is not null) select x.b a, y.b b from b x join b y on x.k = y.k and x.b < y.b where damerau_levenshtein(x.b, y.b) <= 1")
+@query("txt_one_edit", "with b as (select distinct regexp_replace(lower(brand_name), '[^a-z ]', '', 'g') b from ttb_cola_sample where length(brand_name) >= 5) select x.b a, y.b b from b x join b y on x.b < y.b and abs(length(x.b) - length(y.b)) <= 1 and damerau_levenshtein(x.b, y.b) <= 1")
 def txt_one_edit(spark, d):
-    b = table(spark, d, "ttb_cola_sample").where("brand_name is not null").select(F.lower("brand_name").alias("a")).distinct().withColumn("k", F.substring("a", -5, 5))
-    return b.join(b.select(F.col("a").alias("b"), "k"), "k").where("a < b").where(T.within_one_edit(F.col("a"), F.col("b"))).select("a", "b")
+    b = table(spark, d, "ttb_cola_sample").where("length(brand_name) >= 5").select(F.regexp_replace(F.lower("brand_name"), "[^a-z ]", "").alias("a")).distinct()
+    keyed = b.select("a", F.explode(F.array_union(F.array("a"), T.deletions(F.col("a")))).alias("k"))
+    pairs = keyed.join(keyed.select(F.col("a").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
+    return pairs.where(T.within_one_edit(F.col("a"), F.col("b")))
 
 
 @query("txt_slug", "select distinct permittee, trim(regexp_replace(lower(permittee), '[^a-z0-9]+', '-', 'g')[1:60], '-') slug from ttb_cola_sample where permittee is not null")
@@ -168,7 +170,7 @@ def idx_postings(spark, d):
     return retrieval.postings(p).groupBy("token").agg(F.count("*").alias("rows"), F.min("id").alias("first_row"))
 
 
-_LINES = "select row_id qid, brand_name || ' ' || fanciful_name q from ttb_cola_sample where brand_name is not null and fanciful_name is not null and row_id % 50 = 0"
+_LINES = "select row_id qid, brand_name || ' ' || fanciful_name q from ttb_cola_sample where brand_name is not null and fanciful_name is not null"
 
 
 @query("match_line_topk", f"""with q as ({_LINES}), n as (select count(*) n from gold where entity_type = 'brand' and name is not null),
@@ -177,7 +179,7 @@ _LINES = "select row_id qid, brand_name || ' ' || fanciful_name q from ttb_cola_
   s as (select qid, id, round(sum(ln(1 + n / df)), 6) evidence from qt join pf using (w) join df using (w), n group by 1, 2),
   r as (select *, row_number() over (partition by qid order by evidence desc, id) k from s) select qid, id, evidence from r where k <= 3""")
 def match_line_topk(spark, d):
-    q = table(spark, d, "ttb_cola_sample").where("brand_name is not null and fanciful_name is not null and row_id % 50 = 0").select(F.col("row_id").alias("qid"), F.concat_ws(" ", "brand_name", "fanciful_name").alias("text"))
+    q = table(spark, d, "ttb_cola_sample").where("brand_name is not null and fanciful_name is not null").select(F.col("row_id").alias("qid"), F.concat_ws(" ", "brand_name", "fanciful_name").alias("text"))
     return retrieval.match_lines(q, entities(spark, d, "brand").select("id", "name"), 3)
 
 
@@ -190,11 +192,11 @@ def search_names(spark, d):
 
 
 @query("fuzzy_token_lookup", """with v as (select distinct w from (select unnest(string_split_regex(lower(name), '[^a-z]+')) w from gold where entity_type = 'brand' and name is not null) where length(w) >= 5),
-  q as (select distinct w q from (select unnest(string_split_regex(lower(brand_name), '[^a-z]+')) w from ttb_cola_sample where brand_name is not null and row_id % 20 = 0) where length(w) >= 5)
+  q as (select distinct w q from (select unnest(string_split_regex(lower(brand_name), '[^a-z]+')) w from ttb_cola_sample where brand_name is not null) where length(w) >= 5)
   select q, w, case when q = w then 1.0 when damerau_levenshtein(q, w) <= 1 then 0.7 else 0.6 end::double weight from q join v on damerau_levenshtein(q, w) <= 1 or (starts_with(w, q) or starts_with(q, w))""")
 def fuzzy_token_lookup(spark, d):
     words = lambda df, c: df.where(F.col(c).isNotNull()).select(F.explode(F.split(F.lower(c), "[^a-z]+")).alias("w")).where("length(w) >= 5").distinct()
-    return retrieval.token_lookup(words(table(spark, d, "ttb_cola_sample").where("row_id % 20 = 0"), "brand_name").withColumnRenamed("w", "q"), words(entities(spark, d, "brand"), "name"))
+    return retrieval.token_lookup(words(table(spark, d, "ttb_cola_sample"), "brand_name").withColumnRenamed("w", "q"), words(entities(spark, d, "brand"), "name"))
 
 
 # ---- entity resolution and medallion
@@ -304,7 +306,7 @@ def taste_centroid(spark, d):
     return c.select("user_id", F.posexplode("centroid").alias("i", "x")).select("user_id", "i", F.round("x", 6).alias("x"))
 
 
-@query("rank_catalog", f"""with s as ({_SIGNALS}), x as (select user_id, w, generate_subscripts(embedding, 1) i, unnest(embedding)::double v from s join embeddings on vec_id = k where user_id < 20),
+@query("rank_catalog", f"""with s as ({_SIGNALS}), x as (select user_id, w, generate_subscripts(embedding, 1) i, unnest(embedding)::double v from s join embeddings on vec_id = k),
   m as (select user_id, i, sum(v * w) filter (where w > 0) / sum(w) filter (where w > 0) p, sum(v * -w) filter (where w < 0) / sum(-w) filter (where w < 0) n from x group by 1, 2),
   c as (select user_id, list(p - 0.4 * coalesce(n, 0) order by i) c from m where p is not null group by 1),
   r as (select c.user_id, e.vec_id, round(greatest(0, least(1, 0.5 + 0.5 * ({_COS.format('c.c', 'e.embedding::double[]')}))), 9) sc from c, embeddings e where not exists (select 1 from s where s.user_id = c.user_id and s.k = e.vec_id)),
@@ -312,7 +314,7 @@ def taste_centroid(spark, d):
 def rank_catalog(spark, d):
     s = taste.signals(table(spark, d, "events"))
     items = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
-    c = taste.centroids(s.where("user_id < 20"), items, "embedding")
+    c = taste.centroids(s, items, "embedding")
     return ranking.rank_for_users(c, items, s, 10).select("user_id", "rank", F.col("k").alias("vec_id"), F.round("score", 6).alias("score"))
 
 

@@ -96,9 +96,9 @@ def flt_replaceable_fact(spark, d):
     return entities(spark, d, "product").select("id", m.alias("m")).where(F.col("m").isNull() | F.col("m").isin("llm_recalled", "user_contributed"))
 
 
-@query("flt_consent", "select event_id, user_id from events where event_type in ('purchase', 'view') and json_extract_string(props, '$.k')::int % 2 = 0")
+@query("flt_consent", "select event_id, user_id from events where event_type in ('purchase', 'view') and json_extract_string(props, '$.k') is not null")
 def flt_consent(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").isin("purchase", "view") & (F.get_json_object("props", "$.k").cast("int") % 2 == 0)).select("event_id", "user_id")
+    return table(spark, d, "events").where(F.col("event_type").isin("purchase", "view") & F.get_json_object("props", "$.k").isNotNull()).select("event_id", "user_id")
 
 
 @query("flt_intent", "select row_id from demo_products where (product.abv is null or product.abv <= 6) and lower(product.style) like '%ale%'")
