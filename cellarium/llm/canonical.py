@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellarium.functions.stated import says_nothing
-from cellarium.functions.text import unaccent
+from cellarium.functions.text import deletions, unaccent
 
 BROADCAST_ENTRIES = 20_000
 #: Least soft TF-IDF cosine of a match.
@@ -37,11 +37,6 @@ def value_tokens(value: Column) -> Column:
     return F.filter(F.split(v, r"[^\p{L}]+"), lambda w: w != "")
 
 
-def deletions(word: Column) -> Column:
-    """The word without any one letter."""
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-
-
 def word_first(word: Column) -> Column:
     """Key by which a short form of a word finds it."""
     return F.array(F.concat(F.lit("!"), F.substring(word, 1, 1)))
