@@ -110,6 +110,14 @@ def bigram_dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(2 * common / total)
 
 
-def deletions(word: Column) -> Column:
-    """The word without any one letter; two words within one edit share one of these or themselves."""
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+#: Words longer than this are compared as they are: no vocabulary word is as long.
+LONGEST_WORD = 64
+
+
+def deletions(word: Column, longest: int = LONGEST_WORD) -> Column:
+    """The word without any one letter; two words within one edit share one of these or themselves.
+
+    Empty for words above ``longest``, whose deletions would grow with the square of their length.
+    """
+    each = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.when(F.length(word).between(1, longest), each).otherwise(F.array().cast("array<string>"))
