@@ -152,6 +152,7 @@ def _keys() -> Column:
     has_b, has_w = F.length("brand") >= 4, F.size("words") > 0
     key = lambda tag, *parts: F.concat_ws("|", F.lit(tag), *parts)
     word = F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.when(has_b, key("w", b, w, num)))
+    start = F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.when(F.length("brand") >= 6, key("b", F.substring(b, 1, 6), w, num)))
     one = [
         F.when(has_b & has_w, key("s", F.substring(b, 1, 4), both, num)),
         F.when(has_b & has_w, key("e", F.substring(b, -4, 4), both, num)),
@@ -159,7 +160,7 @@ def _keys() -> Column:
         F.when(has_b & has_w, key("c", b, F.array_join(F.reverse(words), ""), num)),
         F.when(F.col("upc").isNotNull(), key("u", F.col("upc"))),
     ]
-    return F.array_distinct(F.filter(F.concat(word, F.array(*one)), lambda k: k.isNotNull()))
+    return F.array_distinct(F.filter(F.concat(word, start, F.array(*one)), lambda k: k.isNotNull()))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
