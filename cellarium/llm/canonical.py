@@ -49,11 +49,11 @@ def token_keys(word: Column, short: bool = True) -> Column:
     ``short`` is False for the vocabulary, whose words can all have short forms.
     """
     one = deletions(word)
-    two = F.when(F.length(word) >= 5, F.flatten(F.transform(one, deletions))).otherwise(F.array().cast("array<string>"))
+    two = F.when(F.length(word).between(5, 40), F.flatten(F.transform(one, deletions))).otherwise(F.array().cast("array<string>"))
     start = F.when(F.length(word) >= 3, F.array(F.concat(F.lit("^"), F.substring(word, 1, 3)))).otherwise(F.array().cast("array<string>"))
-    bones = F.array(F.concat(F.lit("~"), F.substring(word, 1, 1), F.regexp_replace(F.substring(word, F.lit(2), F.length(word)), "[aeiouy]", "")))
+    bones = F.when(F.length(word) <= 64, F.array(F.concat(F.lit("~"), F.substring(word, 1, 1), F.regexp_replace(F.substring(word, F.lit(2), F.length(word)), "[aeiouy]", "")))).otherwise(F.array().cast("array<string>"))
     first = F.when(F.length(word) <= 5, F.array(F.concat(F.lit("!"), F.substring(word, 1, 1)))).otherwise(F.array().cast("array<string>"))
-    letters = F.when(F.length(word) >= 5, F.array(F.concat(F.lit("@"), F.array_join(F.array_sort(F.split(word, "")), "")))).otherwise(F.array().cast("array<string>"))
+    letters = F.when(F.length(word).between(5, 64), F.array(F.concat(F.lit("@"), F.array_join(F.array_sort(F.split(word, "")), "")))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(first if short else word_first(word), letters, F.array(word), F.when(F.length(word) > 2, one).otherwise(F.array().cast("array<string>")), two, start, bones))
 
 

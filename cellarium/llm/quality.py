@@ -36,9 +36,9 @@ STATISTICS = ["mean_word_length", "symbol_ratio", "digit_ratio", "letter_ratio",
 WORSE = {"mean_word_length": 0, "symbol_ratio": 1, "digit_ratio": 1, "letter_ratio": -1, "line_end_share": 0, "words_per_line": -1, "common_word_share": -1, "prose_line_share": -1, "log_new_triple_share": -1, "new_line_share": -1}
 #: Squared distance in those directions from which a document isn't prose: one whose words mostly
 #: stand in lines of prose must lie further off than one whose words don't.
-CUTOFF, CUTOFF_PROSE_LINES, PROSE_LINES = 5.5, 9.0, 0.6
+CUTOFF, CUTOFF_PROSE_LINES, PROSE_LINES = 4.6, 9.0, 0.6
 #: Least standard deviation of a statistic, so that one that hardly varies can't decide alone.
-FLOOR = {"mean_word_length": 0.5, "symbol_ratio": 0.02, "digit_ratio": 0.08, "letter_ratio": 0.06, "line_end_share": 0.3, "words_per_line": 0.5, "common_word_share": 0.045, "prose_line_share": 0.1, "log_new_triple_share": 0.55, "new_line_share": 0.15}
+FLOOR = {"mean_word_length": 0.5, "symbol_ratio": 0.02, "digit_ratio": 0.08, "letter_ratio": 0.06, "line_end_share": 0.3, "words_per_line": 1.2, "common_word_share": 0.045, "prose_line_share": 0.1, "log_new_triple_share": 0.55, "new_line_share": 0.15}
 
 
 def statistics(text: str) -> tuple[str, int, list[float]]:

@@ -51,10 +51,11 @@ def p7_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p2_found",
-    """with v as (
-      select id, s, sqrt(list_dot_product(s, s)) n from (select *, case when sensory is null or len(list_filter(sensory, lambda x: x is null)) > 0 then [0.0::double] else sensory end s from gold)
-      where entity_type = 'product' and list_dot_product(s, s) > 0
+    """with v0 as materialized (
+      select id, sensory s from gold where entity_type = 'product' and sensory is not null
+        and len(list_filter(sensory, lambda x: x is null)) = 0 and len(list_filter(sensory, lambda x: x <> 0)) > 0
         and json_extract_string(record, '$.sensory.source') is not null and json_extract_string(record, '$.sensory.source') <> 'style_prior'),
+    v as materialized (select id, s, sqrt(list_dot_product(s, s)) n from v0),
     c as (select a.id a, b.id b, round(list_dot_product(a.s, b.s) / a.n / b.n, 10) c from v a, v b where a.id <> b.id),
     r as (select a, b, row_number() over (partition by a order by c desc, b) k from c where c >= 0.999)
     select distinct least(a, b) id_a, greatest(a, b) id_b from r where k <= 5""",
