@@ -1 +1 @@
-"""Plans of the engine."""
+"""Named queries; importing this package's modules fills the registry."""
