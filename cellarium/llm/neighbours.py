@@ -157,7 +157,11 @@ def build_index(points: DataFrame, probes: int = PROBES, fit_rows: int = FIT_ROW
     """
     n = points.count()
     parts = int(np.clip(-(-n // part_points), 1, min(PARTS[1], max(1, n))))
-    sample = points.orderBy(F.xxhash64(F.lit(11), "point"), "point").limit(fit_rows).select("vec").toPandas()["vec"]
+    # A hash filter thins the rows first, so that every task offers only its share of the sample.
+    order = F.xxhash64(F.lit(11), "point")
+    share = int(min(1.0, 2 * fit_rows / max(n, 1)) * (1 << 20))
+    thin = points.where(F.pmod(F.xxhash64(F.lit(13), "point"), F.lit(1 << 20)) < share)
+    sample = thin.orderBy(order, "point").limit(fit_rows).select("vec").toPandas()["vec"]
     weights = None
     if parts > 1:
         x = np.array(sample.tolist(), dtype=np.float64)
