@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cellarium.functions.stated import says_nothing, stated_abv
 from cellarium.functions.text import unaccent
+from cellarium.session import materialise
 
 #: Values a group must state to weigh as much as its cell.
 SHRINK = 3.0
@@ -39,9 +40,9 @@ def predict(rows: DataFrame) -> DataFrame:
     seen = rows.where("y is not null")
     per_cell = seen.groupBy("cell").agg(F.avg("y").alias("cy"), F.regr_slope("y", "x").alias("slope"), F.regr_avgx("y", "x").alias("cx"), F.regr_avgy("y", "x").alias("cyx"), F.regr_r2("y", "x").alias("r2"))
     per_group = seen.groupBy("grp").agg(F.avg("y").alias("gy"), F.count("*").alias("gn"))
-    overall = seen.agg(F.avg("y").alias("ay"))
+    overall = seen.agg(F.avg("y").alias("ay")).scalar()
     line = F.when((F.col("r2") > 0) & F.col("x").isNotNull(), F.col("cyx") + F.col("slope") * (F.col("x") - F.col("cx")))
-    joined = rows.join(per_cell, "cell", "left").join(per_group, "grp", "left").crossJoin(F.broadcast(overall))  # one row
+    joined = rows.join(per_cell, "cell", "left").join(per_group, "grp", "left").withColumn("ay", overall)
     base = F.coalesce(line, "cy", "ay")
     n = F.coalesce("gn", F.lit(0))
     pred = (n * F.coalesce("gy", F.lit(0.0)) + SHRINK * base) / (n + SHRINK)
@@ -68,7 +69,8 @@ def match_means(rows: DataFrame) -> DataFrame:
     ``overall``, or ``none`` where no row states a value. Equal candidates: the value stated most
     often, then the smallest id. A repeated row is filled as often as it appears.
     """
-    p = predict(rows).withColumn("step", F.round(F.col("pred") / STEP).cast("long"))
+    p = predict(materialise(rows.select("id", "value", "y", "x", "grp", "cell")))
+    p = materialise(p.select("id", "value", "grp", "cell", "pred", F.round(F.col("pred") / STEP).cast("long").alias("step")))
     missing, donors = p.where("value is null"), p.where("value is not null")
     own = donors.groupBy("grp", "value").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     own = own.groupBy("grp").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("id"), F.col("value"))).alias("g")).select("grp", F.struct("g.id", "g.value").alias("g"))
@@ -79,7 +81,6 @@ def match_means(rows: DataFrame) -> DataFrame:
     # All cells together have no more points than the rounded scale has steps: one small window.
     every = _nearest(points.groupBy("step").agg(F.min("donor").alias("donor")), asked.select("step").distinct(), []).withColumnRenamed("near", "near_all")
     out = left.join(in_cell, ["cell", "step"], "left").join(every, "step", "left")
-    pick = F.coalesce(F.col("g"), F.struct("near.id", "near.value"))
     cell_pick, all_pick = F.when(F.col("near").isNotNull(), F.struct("near.id", "near.value")), F.when(F.col("near_all").isNotNull(), F.struct("near_all.id", "near_all.value"))
     pick = F.coalesce("g", cell_pick, all_pick)
     method = F.when(F.col("g").isNotNull(), "group").when(cell_pick.isNotNull(), "cell").when(all_pick.isNotNull(), "overall").otherwise("none")
@@ -113,8 +114,8 @@ def fill_styles(demo: DataFrame) -> DataFrame:
     named = F.col("producer.slug").isNotNull() & ~says_nothing(p["name"])
     rows = demo.select(F.col("row_id").alias("id"), style.alias("value"), abv.alias("x"), F.when(named, F.concat_ws("|", F.col("producer.slug"), bare(p["name"]))).alias("grp"), p["category"].alias("cell"))
     score = rows.where("value is not null").groupBy(bare(F.col("value")).alias("k")).agg(F.avg("x").alias("s"))
-    usual = rows.agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("usual"))
-    scored = rows.withColumn("k", bare(F.col("value"))).join(score, "k", "left").crossJoin(F.broadcast(usual))  # one row
+    usual = rows.agg(F.coalesce(F.avg("x"), F.lit(0.0))).scalar()
+    scored = rows.withColumn("k", bare(F.col("value"))).join(score, "k", "left").withColumn("usual", usual)
     return match_means(scored.select("id", "value", F.when(F.col("value").isNotNull(), F.coalesce("s", "usual")).alias("y"), "x", "grp", "cell"))
 
 

@@ -106,16 +106,16 @@ _COS = "list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0}) * list_dot_
 @query("vec_cosine_topk", f"with e as (select vec_id, embedding::double[] v from embeddings), q as (select v from e order by vec_id limit 1) select vec_id, round({_COS.format('e.v', 'q.v')}, 6) cos from e, q order by {_COS.format('e.v', 'q.v')} desc, vec_id limit 20")
 def vec_cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q")))  # one row
-    return e.crossJoin(q).withColumn("c", V.cosine(F.col("embedding"), F.col("q"))).orderBy(F.desc("c"), "vec_id").limit(20).select("vec_id", F.round("c", 6).alias("cos"))
+    q = e.orderBy("vec_id").limit(1).select(F.col("embedding")).scalar()
+    return e.withColumn("q", q).withColumn("c", V.cosine(F.col("embedding"), F.col("q"))).orderBy(F.desc("c"), "vec_id").limit(20).select("vec_id", F.round("c", 6).alias("cos"))
 
 
 @query("vec_shelves", f"with e as (select vec_id, label, embedding::double[] v from embeddings), q as (select v from e order by vec_id limit 1), r as (select vec_id, label, row_number() over (partition by label order by {_COS.format('e.v', 'q.v')} desc, vec_id) k from e, q) select label, vec_id, k from r where k <= 5")
 def vec_shelves(spark, d):
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q")))  # one row
+    q = e.orderBy("vec_id").limit(1).select(F.col("embedding")).scalar()
     k = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("c"), "vec_id"))
-    return e.crossJoin(q).withColumn("c", V.cosine(F.col("embedding"), F.col("q"))).withColumn("k", k).where("k <= 5").select("label", "vec_id", "k")
+    return e.withColumn("q", q).withColumn("c", V.cosine(F.col("embedding"), F.col("q"))).withColumn("k", k).where("k <= 5").select("label", "vec_id", "k")
 
 
 @query("vec_centroids", "select label, i, round(avg(x), 6) x from (select label, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 i from embeddings) group by 1, 2")
@@ -133,8 +133,8 @@ def vec_strongest_axes(spark, d):
 @query("fn_personal_score", f"with e as (select vec_id, embedding::double[] v from embeddings), q as (select v from e order by vec_id desc limit 1), s as (select vec_id, greatest(0, least(1, 0.5 + 0.5 * ({_COS.format('e.v', 'q.v')}))) s from e, q) select vec_id, round(s, 6) score, case when s >= 0.8 then 0 when s >= 0.6 then 1 else 2 end band from s")
 def fn_personal_score(spark, d):
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.orderBy(F.desc("vec_id")).limit(1).select(F.col("embedding").alias("q")))  # one row
-    scored = e.crossJoin(q).withColumn("s", ranking.personal_score(V.cosine(F.col("embedding"), F.col("q"))))
+    q = e.orderBy(F.desc("vec_id")).limit(1).select(F.col("embedding")).scalar()
+    scored = e.withColumn("q", q).withColumn("s", ranking.personal_score(V.cosine(F.col("embedding"), F.col("q"))))
     return scored.select("vec_id", F.round("s", 6).alias("score"), ranking.band(F.col("s")).alias("band"))
 
 

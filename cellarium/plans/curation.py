@@ -103,8 +103,8 @@ _COS = "list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0}) * list_dot_
 @query("rank_similar", f"with e as (select vec_id, label, embedding::double[] v from embeddings), q as (select v from e order by vec_id limit 1), s as (select vec_id, label, round({_COS.format('e.v', 'q.v')}, 9) c from e, q where vec_id <> (select min(vec_id) from e)), r as (select *, row_number() over (partition by label order by c desc, vec_id) k from s) select vec_id from r where k = 1 order by c desc, vec_id limit 6")
 def rank_similar(spark, d):
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"), F.col("vec_id").alias("own")))  # one row
-    s = e.crossJoin(q).where("vec_id <> own").select("vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("q")), 9).alias("c"))
+    first = lambda c: e.orderBy("vec_id").limit(1).select(c).scalar()
+    s = e.withColumn("q", first("embedding")).where(F.col("vec_id") != first("vec_id")).select("vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("q")), 9).alias("c"))
     return curation.one_per_maker(s, "label", [F.desc("c"), F.col("vec_id")], 6).select("vec_id")
 
 

@@ -259,8 +259,8 @@ def agg_distinct_on(spark, d):
 def agg_document_frequency(spark, d):
     p = table(spark, d, "demo_products")
     w = p.select("row_id", F.explode(F.array_distinct(F.split(F.lower("product.name"), "[^a-z]+"))).alias("w")).where("length(w) >= 2")
-    n = F.broadcast(p.agg(F.count("*").alias("total")))  # one row
-    return w.groupBy("w").agg(F.count("*").alias("df")).crossJoin(n).select("w", "df", F.round(F.log1p(F.col("total") / F.col("df")), 9).alias("idf"))
+    total = p.agg(F.count("*")).scalar()
+    return w.groupBy("w").agg(F.count("*").alias("df")).select("w", "df", F.round(F.log1p(total / F.col("df")), 9).alias("idf"))
 
 
 @query("agg_lexicon", "select w, count(*) n from (select unnest(string_split_regex(lower(name), '[^a-z]+')) w from gold where entity_type in ('product', 'producer') and name is not null) where length(w) >= 3 group by 1 order by n desc, w limit 200")
