@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarium.functions import vectors as V
+from cellarium.session import materialise
 
 #: Items up to this many are broadcast to the users; beyond, users and items meet in blocks.
 BROADCAST_ITEMS = 100_000
@@ -33,9 +34,14 @@ def rank_for_users(centroids: DataFrame, items: DataFrame, judged: DataFrame, li
     """
     small = items.count() <= BROADCAST_ITEMS
     blocks = 1 if small else BLOCKS
-    stored = items.select("k", F.col(items.columns[1]).alias("v"), F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("block"))
+    # Lengths are taken out once per vector, so that a pair costs one dot product.
+    size = lambda c: F.greatest(V.norm(F.col(c)), F.lit(1e-300))
+    unit = lambda df, c: df.withColumn("__size", size(c)).withColumn(c, F.transform(c, lambda x: x.cast("double") / F.col("__size"))).drop("__size")
+    items = unit(items.select("k", F.col(items.columns[1]).alias("v")), "v")
+    centroids = materialise(unit(centroids.select("user_id", "centroid"), "centroid"))
+    stored = items.select("k", "v", F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("block"))
     asked = centroids.select("user_id", "centroid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    met = asked.join(F.broadcast(stored) if small else stored, "block").select("user_id", "k", F.round(personal_score(V.cosine(F.col("centroid"), F.col("v"))), 9).alias("score"))
+    met = asked.join(F.broadcast(stored) if small else stored, "block").select("user_id", "k", F.round(personal_score(V.dot(F.col("centroid"), F.col("v"))), 9).alias("score"))
     fresh = met.join(judged.select("user_id", "k"), ["user_id", "k"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "k"))
     return fresh.withColumn("rank", rank).where(F.col("rank") <= limit).select("user_id", "rank", "k", "score")
