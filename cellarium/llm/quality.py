@@ -3,9 +3,10 @@
 Every statistic is read from the whole text. For each language, mean and covariance of all
 statistics are estimated from the documents that look like prose in it: a start within a few robust
 deviations of the median, then two rounds in which the documents nearest to the estimate give the
-next one. A document's distance is the Mahalanobis distance to its language's estimate, and the
-share of every statistic in the distance is reported. The estimates are sums over all documents; only
-they (languages times statistics squared numbers) reach the driver.
+next one. A document's distance is the Mahalanobis distance to its language's estimate; whether it is
+junk is decided by the same distance of its deviation without those to a better side. The share of
+every statistic in either distance is reported. The estimates are sums over all documents; only they
+(languages times statistics squared numbers) reach the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ _SETS = {lang: frozenset(words) for lang, words in COMMON.items()}
 STATISTICS = ["mean_word_length", "symbol_ratio", "digit_ratio", "letter_ratio", "line_end_share", "words_per_line", "common_word_share", "prose_line_share", "log_new_triple_share", "new_line_share"]
 #: Directions in which a statistic moves away from prose: -1 below, 1 above, 0 either way.
 WORSE = {"mean_word_length": 0, "symbol_ratio": 1, "digit_ratio": 1, "letter_ratio": -1, "line_end_share": 0, "words_per_line": -1, "common_word_share": -1, "prose_line_share": -1, "log_new_triple_share": -1, "new_line_share": -1}
+#: Statistics that follow how a text is wrapped: they are reported but set to the mean before junk is decided.
+WRAPPING = {"line_end_share"}
 #: Squared distance in those directions from which a document isn't prose: one whose words mostly
 #: stand in lines of prose must lie further off than one whose words don't.
 CUTOFF, CUTOFF_PROSE_LINES, PROSE_LINES = 4.6, 9.0, 0.6
@@ -134,29 +137,28 @@ def fit_prose(stats: DataFrame, rounds: int = 2) -> dict[str, tuple[np.ndarray,
 
 
 def with_distance(stats: DataFrame, fit: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Add ``distance2``, ``junk_distance2`` and one ``<statistic>_part`` per statistic.
+    """Add ``distance2``, ``junk_distance2``, and one ``<statistic>_part`` and ``<statistic>_junk_part`` per statistic.
 
-    The parts add up to the squared distance. ``junk_distance2`` is the squared distance after every
-    statistic that deviates to its better side is set to the mean.
+    The parts add up to their squared distance. ``junk_distance2`` is the squared distance after every
+    statistic that deviates to its better side is set to the mean, as are those of ``WRAPPING``; the
+    others, also those without a better side, count with all covariances.
     """
     fallback = next(iter(fit.values())) if fit else (np.zeros(len(STATISTICS)), np.eye(len(STATISTICS)))
-    shape = StructType([StructField("distance2", DoubleType()), StructField("junk_distance2", DoubleType()), *[StructField(f"{s}_part", DoubleType()) for s in STATISTICS]])
-    side = np.array([WORSE[s] for s in STATISTICS])
+    shape = StructType([StructField("distance2", DoubleType()), StructField("junk_distance2", DoubleType()), *[StructField(f"{s}_{p}", DoubleType()) for p in ("part", "junk_part") for s in STATISTICS]])
+    side, wrapping = np.array([WORSE[s] for s in STATISTICS]), np.array([s in WRAPPING for s in STATISTICS])
 
     @F.pandas_udf(shape)
     def measure(spoken: pd.Series, *cols: pd.Series) -> pd.DataFrame:
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        parts, junk = np.zeros_like(x), np.zeros(len(x))
+        parts, junk = np.zeros_like(x), np.zeros_like(x)
         for lang in spoken.unique():
             mean, inverse = fit.get(lang, fallback)
             at = (spoken == lang).to_numpy()
             d = x[at] - mean
             parts[at] = d * (d @ inverse)
-            worse = np.where((side == 0) | (np.sign(d) == side), d, 0)
-            worse[:, side == 0] = 0
-            scale = 1 / np.sqrt(np.diag(np.linalg.inv(inverse)))
-            junk[at] = ((worse * scale) ** 2).sum(axis=1)
-        return pd.DataFrame(np.column_stack([parts.sum(axis=1), junk, parts]), columns=[f.name for f in shape.fields])
+            worse = np.where(~wrapping & ((side == 0) | (np.sign(d) == side)), d, 0)
+            junk[at] = worse * (worse @ inverse)
+        return pd.DataFrame(np.column_stack([parts.sum(axis=1), junk.sum(axis=1), parts, junk]), columns=[f.name for f in shape.fields])
 
     return stats.withColumn("d", measure("spoken", *STATISTICS)).select(*[f"`{c}`" for c in stats.columns], "d.*")
 

@@ -249,6 +249,22 @@ def test_junk_is_told_from_prose(spark):
     assert quality.quality_report(docs.limit(0)).count() == 0
 
 
+def test_junk_distance_counts_every_statistic_and_covariance(spark):
+    k, at = len(quality.STATISTICS), quality.STATISTICS.index
+    cov = np.eye(k)
+    i, j = at("digit_ratio"), at("symbol_ratio")
+    cov[i, j] = cov[j, i] = 0.8
+    fit = {"en": (np.zeros(k), np.linalg.inv(cov))}
+    off = {0: {"mean_word_length": 4.0}, 1: {"line_end_share": -3.0}, 2: {"digit_ratio": 2.0, "symbol_ratio": 2.0}, 3: {"digit_ratio": 2.0}, 4: {"common_word_share": 5.0}}
+    rows = [(d, "en", *[float(x.get(s, 0)) for s in quality.STATISTICS]) for d, x in off.items()]
+    stats = spark.createDataFrame(rows, "doc_id long, spoken string, " + ", ".join(f"{s} double" for s in quality.STATISTICS))
+    got = {r["doc_id"]: r for r in quality.with_distance(stats, fit).collect()}
+    want = {0: 16.0, 1: 0.0, 2: 8 / 1.8, 3: 4 / 0.36, 4: 0.0}
+    for d, x in want.items():
+        assert got[d]["junk_distance2"] == pytest.approx(x)
+        assert sum(got[d][f"{s}_junk_part"] for s in quality.STATISTICS) == pytest.approx(x)
+
+
 # ---- tokens
 
 def test_tokens_of_long_texts_add_up(spark):
