@@ -3,12 +3,13 @@
 A group-aware predictor gives every row, filled or not, an expected value: the regression of its
 cell (class or category) on a covariate, drawn towards the mean of its own group (drink or product)
 the more, the more values the group states. A missing value is copied from a donor: from the row's
-own group the value stated most often, otherwise from the row of the same cell whose prediction is
-nearest, otherwise from the nearest row of all. Donors are real rows and are named in the result.
+own group the one whose prediction is nearest, otherwise one of the rows of the same cell whose
+predictions are nearest, otherwise one of the nearest rows of all. Donors are real rows and are
+named in the result; which of several near ones is taken depends on a hash of the row's id.
 
-The range search never sees rows: donors are first reduced to one per cell and rounded prediction,
-so a cell of any size becomes at most as many points as the rounded scale has steps, and the two
-neighbours on either side come from a window over those points.
+The range search never sees rows: donors are first reduced to a few per cell and rounded prediction,
+so a cell of any size becomes at most as many points as the rounded scale has steps, times a few.
+Points are numbered in order of prediction, and the neighbours on either side come by their number.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from cellarium.session import materialise
 SHRINK = 3.0
 #: Step to which predictions are rounded before the search.
 STEP = 0.01
+#: Donors kept per cell and step, donors looked at on either side, and steps that one may lie further off than the nearest.
+PER_STEP, POOL, REACH = 5, 5, 10
 
 
 def bare(text: Column) -> Column:
@@ -38,27 +41,38 @@ def predict(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumn("cell", F.coalesce("cell", F.lit(""))).withColumn("grp", F.coalesce("grp", F.concat(F.lit("\u0001"), F.col("id").cast("string"))))
     seen = rows.where("y is not null")
-    per_cell = seen.groupBy("cell").agg(F.avg("y").alias("cy"), F.regr_slope("y", "x").alias("slope"), F.regr_avgx("y", "x").alias("cx"), F.regr_avgy("y", "x").alias("cyx"), F.regr_r2("y", "x").alias("r2"))
+    per_cell = seen.groupBy("cell").agg(F.avg("y").alias("cy"), F.regr_slope("y", "x").alias("slope"), F.regr_avgx("y", "x").alias("cx"), F.regr_avgy("y", "x").alias("cyx"), F.regr_r2("y", "x").alias("r2"), F.min("y").alias("low"), F.max("y").alias("high"))
     per_group = seen.groupBy("grp").agg(F.avg("y").alias("gy"), F.count("*").alias("gn"))
     overall = seen.agg(F.avg("y").alias("ay")).scalar()
-    line = F.when((F.col("r2") > 0) & F.col("x").isNotNull(), F.col("cyx") + F.col("slope") * (F.col("x") - F.col("cx")))
+    line = F.when((F.col("r2") > 0) & F.col("x").isNotNull(), F.least(F.greatest(F.col("cyx") + F.col("slope") * (F.col("x") - F.col("cx")), "low"), "high"))
     joined = rows.join(per_cell, "cell", "left").join(per_group, "grp", "left").withColumn("ay", overall)
     base = F.coalesce(line, "cy", "ay")
     n = F.coalesce("gn", F.lit(0))
     pred = (n * F.coalesce("gy", F.lit(0.0)) + SHRINK * base) / (n + SHRINK)
-    return joined.withColumn("pred", pred).drop("cy", "slope", "cx", "cyx", "r2", "gy", "gn", "ay")
+    return joined.withColumn("pred", pred).drop("cy", "slope", "cx", "cyx", "r2", "low", "high", "gy", "gn", "ay")
 
 
 def _nearest(points: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
-    """For every asked ``(*by, step)`` the donor of the nearest step; the lower one on a tie."""
+    """For every asked ``(*by, step)`` the donors ``near``: of the ``POOL`` points on either side those
+    that lie at most ``REACH`` steps further off than the nearest, nearest first."""
     both = asked.select(*by, "step", F.lit(None).cast(points.schema["donor"].dataType).alias("donor")).unionByName(points.select(*by, "step", "donor"))
-    both = both.groupBy(*by, "step").agg(F.min("donor").alias("donor"))
-    here = F.when(F.col("donor").isNotNull(), F.struct("step", "donor"))
-    w = Window.partitionBy(*by).orderBy("step") if by else Window.partitionBy(F.lit(0)).orderBy("step")
-    both = both.withColumn("low", F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    low_off, high_off = F.col("step") - F.col("low.step"), F.col("high.step") - F.col("step")
-    pick = F.when(F.col("high").isNull() | (low_off <= high_off), F.col("low")).otherwise(F.col("high"))
-    return both.select(*by, "step", pick["donor"].alias("near"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    # A step's asked row follows its donors, so its count of donors so far is the number of the last one at or below it.
+    both = both.withColumn("k", F.count("donor").over(w.orderBy("step", F.col("donor").isNull(), "donor").rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = both.where("donor is not null").select(*by, "k", F.col("step").alias("at"), "donor")
+    sought = both.where("donor is null").select(*by, "step", F.explode(F.sequence(F.col("k") - POOL + 1, F.col("k") + POOL)).alias("k"))
+    met = sought.join(numbered, [*by, "k"]).withColumn("off", F.abs(F.col("at") - F.col("step")))
+    found = met.groupBy(*by, "step").agg(F.array_sort(F.collect_list(F.struct("off", "donor"))).alias("all"))
+    inside = F.filter("all", lambda x: x["off"] <= F.col("all")[0]["off"] + REACH)
+    return found.select(*by, "step", F.transform(inside, lambda x: x["donor"]).alias("near"))
+
+
+def _own(donors: DataFrame, asked: DataFrame) -> DataFrame:
+    """For every asked ``(grp, step)`` the donor ``g`` of the group whose step is nearest."""
+    points = donors.groupBy("grp", "step", "value").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    points = points.withColumn("n", F.sum("n").over(Window.partitionBy("grp", "value"))).withColumnRenamed("step", "at")
+    best = F.min(F.struct(F.abs(F.col("at") - F.col("step")).alias("off"), (-F.col("n")).alias("n"), F.col("id"), F.col("value")))
+    return asked.join(points, "grp").groupBy("grp", "step").agg(best.alias("g")).select("grp", "step", F.struct("g.id", "g.value").alias("g"))
 
 
 def match_means(rows: DataFrame) -> DataFrame:
@@ -66,29 +80,53 @@ def match_means(rows: DataFrame) -> DataFrame:
 
     ``rows`` has ``id, value string, y double, x double, grp string, cell string``; ``y`` is a number
     that stands for the value (itself, or a score of a category). ``method`` is ``group``, ``cell``,
-    ``overall``, or ``none`` where no row states a value. Equal candidates: the value stated most
-    often, then the smallest id. A repeated row is filled as often as it appears.
+    ``overall``, or ``none`` where no row states a value. Equal candidates of a group: the value stated
+    most often, then the smallest id; near ones of a cell: by a hash of the row's id. A repeated row is
+    filled as often as it appears.
     """
     p = predict(materialise(rows.select("id", "value", "y", "x", "grp", "cell")))
     p = materialise(p.select("id", "value", "grp", "cell", "pred", F.round(F.col("pred") / STEP).cast("long").alias("step")))
     missing, donors = p.where("value is null"), p.where("value is not null")
-    own = donors.groupBy("grp", "value").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    own = own.groupBy("grp").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("id"), F.col("value"))).alias("g")).select("grp", F.struct("g.id", "g.value").alias("g"))
-    points = donors.groupBy("cell", "step").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.col("value"))).alias("donor"))
-    left = missing.join(own, "grp", "left")
+    left = missing.join(_own(donors, missing.select("grp", "step").distinct()), ["grp", "step"], "left")
     asked = left.where("g is null").select("cell", "step").distinct()
+    salt = F.pmod(F.xxhash64("id"), F.lit(PER_STEP))
+    points = donors.groupBy("cell", "step", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.col("value"))).alias("donor"))
     in_cell = _nearest(points, asked, ["cell"])
-    # All cells together have no more points than the rounded scale has steps: one small window.
-    every = _nearest(points.groupBy("step").agg(F.min("donor").alias("donor")), asked.select("step").distinct(), []).withColumnRenamed("near", "near_all")
+    # All cells together have no more points than the rounded scale has steps, times a few: one small window.
+    every = _nearest(points.groupBy("step", "salt").agg(F.min("donor").alias("donor")), asked.select("step").distinct(), []).withColumnRenamed("near", "near_all")
     out = left.join(in_cell, ["cell", "step"], "left").join(every, "step", "left")
+    one = lambda c: F.get(c, F.pmod(F.xxhash64("id", F.lit(1)), F.size(c)))
+    out = out.withColumn("near", one(F.col("near"))).withColumn("near_all", one(F.col("near_all")))
     cell_pick, all_pick = F.when(F.col("near").isNotNull(), F.struct("near.id", "near.value")), F.when(F.col("near_all").isNotNull(), F.struct("near_all.id", "near_all.value"))
     pick = F.coalesce("g", cell_pick, all_pick)
     method = F.when(F.col("g").isNotNull(), "group").when(cell_pick.isNotNull(), "cell").when(all_pick.isNotNull(), "overall").otherwise("none")
     return out.select("id", pick["value"].alias("value"), pick["id"].alias("donor_id"), method.alias("method"), F.round("pred", 6).alias("pred"))
 
 
+def _maker_lean(rows: DataFrame) -> DataFrame:
+    """Add ``x`` to rows with ``y, grp, cell, maker``: how far the maker's other drinks lie from their class means on average.
+
+    The row's own drink is left out, so filled and missing rows of a drink have the same ``x``; a row
+    without a group is its own drink. Null without other drinks.
+    """
+    # Sums only feed a covariate, so their keys are hashes: short rows, and two keys that clash do no harm.
+    rows = rows.withColumn("drink", F.xxhash64(F.coalesce("grp", F.concat(F.lit("\u0001"), F.col("id").cast("string")))))
+    seen = rows.where("y is not null and cell is not null and maker is not null")
+    lean = materialise(seen.groupBy("maker", "drink", F.xxhash64("cell").alias("cell")).agg(F.sum("y").alias("s"), F.count("*").alias("n")))
+    mean = lean.groupBy("cell").agg((F.sum("s") / F.sum("n")).alias("cy"))
+    off = lean.join(mean, "cell").withColumn("s", F.col("s") - F.col("n") * F.col("cy"))
+    per_group = off.groupBy("maker", "drink").agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
+    per_maker = per_group.groupBy("maker").agg(F.sum("gs").alias("ms"), F.sum("gn").alias("mn"))
+    joined = rows.join(per_group.drop("maker"), "drink", "left").join(per_maker, "maker", "left")
+    others = F.col("mn") - F.coalesce("gn", F.lit(0))
+    return joined.withColumn("x", F.when(others > 0, (F.col("ms") - F.coalesce("gs", F.lit(0.0))) / others)).drop("drink", "gs", "gn", "ms", "mn")
+
+
 def fill_strengths(filings: DataFrame) -> DataFrame:
-    """Missing ``abv`` of filings: from filings of the same drink, else from the same class."""
+    """Missing ``abv`` of filings: from filings of the same drink, else from the same class.
+
+    The covariate is how strong the brand's other drinks are for their classes.
+    """
     named = ~says_nothing(F.col("fanciful_name")) & ~says_nothing(F.col("brand_name"))
     v = stated_abv(F.col("abv"), F.col("class_type"))
     words = F.array_join(F.array_sort(F.filter(F.split(unaccent(F.lower("class_type")), r"[^\p{L}]+"), lambda w: F.length(w) > 1)), " ")
@@ -96,11 +134,11 @@ def fill_strengths(filings: DataFrame) -> DataFrame:
         F.col("row_id").alias("id"),
         v.cast("string").alias("value"),
         v.alias("y"),
-        F.lit(None).cast("double").alias("x"),
         F.when(named, F.concat_ws("|", bare(F.col("brand_name")), bare(F.col("fanciful_name")))).alias("grp"),
         words.alias("cell"),
+        F.when(~says_nothing(F.col("brand_name")), F.xxhash64(bare(F.col("brand_name")))).alias("maker"),
     )
-    return match_means(rows)
+    return match_means(_maker_lean(rows))
 
 
 def fill_styles(demo: DataFrame) -> DataFrame:

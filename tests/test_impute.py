@@ -28,3 +28,19 @@ def test_donors_have_the_nearest_prediction(spark):
     rows = [(i, str(v), float(v), float(v), None, "c") for i, v in enumerate([10, 20, 30, 40])] + [(9, None, None, 29.0, None, "c")]
     df = spark.createDataFrame(rows, "id long, value string, y double, x double, grp string, cell string")
     assert impute.match_means(df).first()["donor_id"] == 2
+
+
+def test_cells_of_a_large_class_copy_many_donors_and_heed_the_brand(spark):
+    rows = [(i, f"House {i % 8}", f"Drink {i}", "Ale", 4.0 + (i % 8) + 0.01 * (i % 3)) for i in range(160)]
+    rows += [(1000 + i, None, None, "Ale", None) for i in range(40)] + [(2000 + h, f"House {h}", f"New {h}", "Ale", None) for h in (0, 7)]
+    f = spark.createDataFrame(rows, "row_id long, brand_name string, fanciful_name string, class_type string, abv double")
+    by = {r["id"]: r for r in impute.fill_strengths(f).collect()}
+    assert len({by[1000 + i]["donor_id"] for i in range(40)}) > 3
+    assert float(by[2000]["value"]) < 5.5 and float(by[2007]["value"]) > 9.5
+
+
+def test_donors_inside_a_group_have_the_nearest_prediction(spark):
+    rows = [(i, str(v), float(v), float(v), f"g{i}", "c") for i, v in enumerate([10, 20, 30, 40])]
+    rows += [(10, "12", 12.0, 12.0, "g", "c"), (11, "38", 38.0, 38.0, "g", "c"), (20, None, None, 37.0, "g", "c"), (21, None, None, 13.0, "g", "c")]
+    df = spark.createDataFrame(rows, "id long, value string, y double, x double, grp string, cell string")
+    assert {r["id"]: r["donor_id"] for r in impute.match_means(df).collect()} == {20: 11, 21: 10}
