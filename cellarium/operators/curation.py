@@ -38,9 +38,14 @@ def hold_reason(accounts: Column, spread: Column, mean: Column) -> Column:
 
 
 def agreed_values(claims: DataFrame, tolerance: float) -> DataFrame:
-    """``key, value, sources``: keys whose sources agree within the tolerance; the mean, to one decimal."""
-    g = claims.where("key is not null and value is not null").groupBy("key").agg(F.round(F.avg("value"), 1).alias("value"), F.count_distinct("source").alias("sources"), (F.max("value") - F.min("value")).alias("spread"))
-    return g.where(F.col("spread") <= tolerance).drop("spread")
+    """``key, value, sources``: keys whose sources agree within the tolerance; the mean, to one decimal, halves up.
+
+    The mean is taken over whole millionths, so a half stays one in whatever order the values are added.
+    """
+    claims = claims.where("key is not null and value is not null").withColumn("__m", F.round(F.col("value") * 1_000_000).cast("long"))
+    g = claims.groupBy("key").agg(F.sum("__m").alias("s"), F.count("*").alias("n"), F.count_distinct("source").alias("sources"), (F.max("value") - F.min("value")).alias("spread"))
+    tenths = F.expr("(2 * s + 100000 * n - pmod(2 * s + 100000 * n, 200000 * n)) div (200000 * n)")
+    return g.where(F.col("spread") <= tolerance).select("key", (tenths / 10).alias("value"), "sources")
 
 
 def recipe_axes(ingredients: DataFrame) -> DataFrame:

@@ -78,6 +78,13 @@ def er_open_data_fill(spark, d):
     return a.join(means, "key", "left_semi")
 
 
+@query("er_open_data_values", """with g as (select lower(fanciful_name) key, sum(round(abv * 1000000)::bigint) s, count(*) n, count(distinct permit_no) sources from ttb_cola_sample where fanciful_name is not null and abv between 0.1 and 95 group by 1 having max(abv) - min(abv) <= 0.5)
+  select key, ((2 * s + 100000 * n) // (200000 * n))::double / 10 as value, sources from g""")
+def er_open_data_values(spark, d):
+    f = table(spark, d, "ttb_cola_sample").where(F.col("abv").between(0.1, 95) & ~F.isnan("abv"))
+    return curation.agreed_values(f.select(F.lower("fanciful_name").alias("key"), F.col("abv").alias("value"), F.col("permit_no").alias("source")), 0.5)
+
+
 @query("er_maker_core", "select distinct permittee, trim(regexp_replace(regexp_replace(lower(permittee), '^the ', ''), '( (brewing|brewery|distillers|distilling|cellars|winery|company|co|inc|llc|ltd)[.,]*)+$', '')) core from ttb_cola_sample where permittee is not null")
 def er_maker_core(spark, d):
     return table(spark, d, "ttb_cola_sample").where("permittee is not null").select("permittee", curation.maker_core(F.col("permittee")).alias("core")).distinct()
