@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cellarium.functions import text as T
+from cellarium.session import materialise
 
 
 def flatten_redirects(redirects: DataFrame, most_hops: int = 8) -> DataFrame:
@@ -46,6 +51,78 @@ def containment_merges(names: DataFrame) -> DataFrame:
     return pairs.groupBy("alias").agg(F.min("canonical").alias("canonical"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
+# Words that carry no product's identity, words of an age that may be missing on one side, and least likeness of two spellings of a brand.
+STYLE = frozenset(
+    (
+        "abbaye abbey abv aged agricole alc ale ales amaro amber american and anejo anos ans apa aperitif aperitivo artificial artificially beer beers belgian "
+        "belgisch beverage bier biere birra bitter bitters blanc blanche blanco blended blond blonde bock bottle bottled bottles bourbon brandy brasserie "
+        "brewed brewers brewery brewing brown brune by can canadian canned cans caribbean cerveja cerveses cerveza cider cie cl classic co coconut cognac color "
+        "colored colors colour coloured colours contents craft crowler dark double draft draught drink drinks dry dubbel dunkel ecosse extra flavor flavored "
+        "flavors flavour flavoured flavours for fresh from german gin gold golden gose grain grappa growler hazy hefeweizen helles highland hop hopped hops "
+        "imperial imported india ipa irish islay japanese juicy keg kentucky kolsch kriek lager lagers lambic light limoncello liqueur liquore lite liter "
+        "liters litre litres london malt mexican mezcal milliliter milliliters ml natural net new of old organic original ounce ounces ouzo oz pack pale pils "
+        "pilsener pilsner pint pints pivo porter premium product radler red reposado reserve rhum ron rouge rum rye saison sake sambuca scotch seltzer session "
+        "shandy silver single sixpack soju special speyside spiced spirit spirits stout straight strong style tennessee tequila the traditional trappist tripel "
+        "triple unknown vermouth vermut vodka vol volume vsop weiss weisse weizen wheat whiskey whisky wine wit witbier with year years "
+    ).split()
+)
+AGE = frozenset("ans ano anos anni jahre jahren year years yr yrs old aged".split())
+BRAND_LIKENESS = 0.8
+
+
+@F.pandas_udf(DoubleType())
+def letters_likeness_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Likeness of two texts by the letters they hold in order of the alphabet."""
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def _letters(words: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(F.array_join(words, ""), ""), lambda c: c != "")), "")
+
+
+def product_merges(products: DataFrame) -> DataFrame:
+    """``alias, canonical`` of ``id, name, brand``: the name of one product stands in the name and brand of exactly one longer-named product.
+
+    Only words of an age may be missing there if others than words of style remain; numbers are
+    equal, brands compatible (one absent, part of the other product, or spelt alike), a word other
+    than of style is shared, and the ids are of different sources. Products of the same words,
+    numbers, brand and source are compared once, but each gets its own row and counts as a candidate.
+
+    Blocked on the two rarest words that tell the name, which the other product must hold.
+    """
+    arr = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
+    words = lambda c: F.coalesce(F.array_sort(F.array_distinct(F.filter(F.split(T.unaccent(F.lower(c)), r"[^\p{L}]+"), lambda w: F.length(w) >= 2))), F.array().cast("array<string>"))
+    telling = lambda c: F.filter(c, lambda w: ~w.isin(*STYLE))
+    key = ["nt", "bt", "digits", "src"]
+    p = products.where("id is not null").select("id", words(F.col("name")).alias("nt"), words(F.col("brand")).alias("bt"), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("name", F.lit(r"\d+"), F.lit(0)))), " ").alias("digits"), F.substring_index("id", ":", 1).alias("src")).where(F.size("nt") > 0)
+    p = p.withColumn("sig", F.unhex(F.sha2(F.to_json(F.struct(*key)), 256)))
+    s = p.groupBy("sig").agg(*[F.first(k).alias(k) for k in key], F.count("*").alias("n"), F.min("id").alias("id"))
+    own = F.when((F.size("bt") > 0) & (F.col("bt") != F.array(F.lit("unknown"))) & (F.size(F.array_except("bt", "nt")) > 0), F.col("bt"))
+    s = materialise(s.withColumn("full", F.array_union("nt", "bt")).withColumn("ident", own))
+    # Products that could be the longer one are listed under each telling word and each pair of them.
+    told = s.select("*", F.array_sort(telling(F.col("full"))).alias("tw"))
+    pairs = F.flatten(F.transform("tw", lambda x, i: F.transform(F.slice("tw", i + 2, F.size("tw")), lambda y: F.concat_ws(" ", x, y))))
+    # Words travel as one text, which takes less room than an array.
+    sup = told.select("digits", F.explode(F.concat("tw", pairs)).alias("key"), F.size("nt").alias("s_size"), *[F.array_join(c, " ").alias(f"s_{c}") for c in ("full", "ident")], *[F.col(c).alias(f"s_{c}") for c in ("src", "n", "id")])
+    df = told.select(F.explode("tw").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    named = F.array_except(telling(F.col("nt")), arr(AGE))
+    rare = s.select("sig", F.explode(named).alias("word")).join(df, "word").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
+    two = F.array_join(F.array_sort(F.transform(F.slice("r", 1, 2), lambda x: x["word"])), " ")
+    sub = told.join(rare, "sig", "left").select("*", F.explode(F.when(F.col("r").isNotNull(), F.array(two)).otherwise(F.col("tw"))).alias("key"))
+    within = lambda a, b: F.size(F.array_except(a, b)) == 0
+    missing = F.array_except("nt", "s_full")
+    covered = (F.size(missing) == 0) | (within(missing, arr(AGE)) & (F.size(telling(F.array_except("nt", missing))) > 0))
+    met = sub.join(sup, ["digits", "key"]).where((F.col("src") != F.col("s_src")) & (F.col("s_size") > F.size("nt")))
+    met = met.withColumn("s_full", F.split("s_full", " ")).where(covered).withColumn("s_ident", F.split("s_ident", " "))
+    either = F.col("ident").isNull() | F.col("s_ident").isNull() | within("ident", "s_full") | within("s_ident", "full")
+    met = met.withColumn("ok", F.coalesce(either, F.lit(False)))
+    # Letters are only needed where nothing else settles the brands.
+    met = met.select("sig", "s_id", "s_n", "ok", F.when(~F.col("ok"), _letters(F.col("ident"))).alias("a"), F.when(~F.col("ok"), _letters(F.col("s_ident"))).alias("b")).distinct()
+    met = met.where("ok").select("sig", "s_id", "s_n").unionByName(met.where("not ok").where(letters_likeness_udf("a", "b") >= BRAND_LIKENESS).select("sig", "s_id", "s_n"))
+    one = met.groupBy("sig").agg(F.sum("s_n").alias("n"), F.min("s_id").alias("canonical")).where("n = 1")
+    return p.join(one, "sig").select(F.col("id").alias("alias"), "canonical")
+
+
 # Words that end a maker's name without naming it.
 _HOUSE = "brewing|distillers|cellars|company|co|inc|llc|ltd|works|beverage|wine|estates|imports|group"
 

@@ -224,6 +224,12 @@ def er_containment_unique(spark, d):
     return identity.containment_merges(entities(spark, d, "brand").where("name is not null").select("id", "name"))
 
 
+@query("er_product_containment")
+def er_product_containment(spark, d):
+    b = entities(spark, d, "brand").select(F.col("id").alias("brand_id"), F.col("name").alias("brand"))
+    return identity.product_merges(products(spark, d).where("name is not null").join(b, "brand_id", "left").select("id", "name", "brand"))
+
+
 @query("er_maker_merge", """with c as (select id, name, trim(regexp_replace(regexp_replace(lower(name), '^the ', ''), '( (brewing|distillers|cellars|company|co|inc|llc|ltd|works|beverage|wine|estates|imports|group)[.,]*)+$', '')) core from gold where entity_type = 'producer' and name is not null)
   select id, core, first_value(id) over (partition by core order by length(name), id) canonical from c where core <> ''""")
 def er_maker_merge(spark, d):
