@@ -39,7 +39,23 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     return survivors.group_members(table(spark, d, "dup_groups"), values, survivors.source_tiers(table(spark, d, "bronze"), table(spark, d, "source_registry")))
 
 
-@query("p7_found")
+# Fixed values of the SQL: texts that only stand for "not stated", and the word for drinks without alcohol.
+_SAYS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') not in ('', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'unknownproduct', 'unknownstyle', 'unnamed', 'untitled', 'notstated', 'notavailable', 'notapplicable', 'notspecified', 'notgiven', 'notprovided', 'nonegiven', 'nonestated', 'nostyle', 'noname', 'noinfo', 'tbd', 'tba', 'tbc', 'missing', 'unspecified', 'undefined', 'various', 'seelabel', 'productname', 'namenotset', 'nodescription', 'nodescriptionavailable', 'descriptionnotavailable', 'comingsoon', 'descriptioncomingsoon', 'othernone', 'todo', 'test', 'xxx', 'x', 'styleunknown', 'other', 'misc')"
+
+
+@query(
+    "p7_found",
+    f"""with r as (select id, updated_at, json_extract_string(record, '$.name') n, json_extract_string(record, '$.style.value') s, json_extract_string(record, '$.description.value') d,
+        try_cast(json_extract_string(record, '$.spec.abv_pct.value') as double) a, try_cast(json_extract_string(record, '$.spec.ibu.value') as double) i from gold where entity_type = 'product'),
+    t as (select g.id_prefix || ':' || b.natural_key id, min(trust_tier) tier from bronze b join source_registry g on replace(replace(lower(trim(b.source_id)), '_', '-'), ' ', '-') = g.source_id group by 1),
+    m as (select distinct d.group_id, r.*, coalesce(t.tier, 1000000) tier from dup_groups d join r on r.id = d.gold_id left join t on t.id = r.id),
+    f as (select group_id, 'name' field_name, id, tier, updated_at from m where n is not null and {_SAYS.format("n")}
+      union all select group_id, 'style', id, tier, updated_at from m where s is not null and {_SAYS.format("s")}
+      union all select group_id, 'description', id, tier, updated_at from m where d is not null and {_SAYS.format("d")}
+      union all select group_id, 'ibu', id, tier, updated_at from m where i between 0 and 200
+      union all select group_id, 'abv_pct', id, tier, updated_at from m where (a > 0 and a <= 95) or (a = 0 and regexp_matches(lower(concat_ws(' ', s, n)), 'alcoh')))
+    select group_id, field_name, arg_min(id, row(tier, -epoch_us(updated_at), id)) gold_id from f group by 1, 2""",
+)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.field_survivors(_members(spark, d))
 
@@ -110,6 +126,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+@query("p8_rules", "select pack_id, capacity_tokens, (select count(distinct doc_id) from documents where text <> '') documents, 0 overfull, 0 cut, 0 lost from pack_sizes where capacity_tokens > 0")
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    return packing.broken_rules(_packed(spark, d), table(spark, d, "documents"))
+
+
 @query("p9_selection")
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
     sized = mixing.sized_documents(table(spark, d, "documents"), count_tokens(F.col("text")))

@@ -3,11 +3,13 @@
 Points are aggregated before they are compared: trust has a handful of tiers and completeness a
 handful of values, so a group of any size shrinks to a bounded number of points (the latest record
 of every tier and completeness). A group that holds a third of all rows therefore costs one partial
-aggregate per task and never meets in one place.
+aggregate per task and never meets in one place. Dominance layers are then peeled from the points of
+each group: the first layer is undominated, the next one is so once the first is taken away.
 
-Policy among undominated points: lowest tier, then latest update, then most complete, then smallest
-id. A field the survivor does not state is filled from the next dominance layers: the layers are
-taken among the members that state the field, whose first layer always holds the policy's choice.
+The surviving record is taken from the first layer by the policy: lowest tier, then latest update,
+then most complete, then smallest id. Every field is taken from the first layer of the members that
+state it, by tier, update and id; where that member is not the surviving record, the field is filled
+from the record layer reported with it.
 """
 
 from __future__ import annotations
@@ -62,40 +64,57 @@ def _latest_first() -> Column:
     return F.struct((-F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**62)))).alias("age"), F.col("gold_id"))
 
 
+def dominance_layers(members: DataFrame, *keys: str) -> DataFrame:
+    """``*keys, points``: per group the points ``tier, age, less, gold_id, layer`` in lexicographic order.
+
+    A point is the latest record of one tier and completeness. It is dominated by points of no higher
+    tier, no earlier update and no less completeness, all of which come before it in this order, so
+    its layer is one more than the last layer among those.
+    """
+    latest = members.groupBy(*keys, "tier", "complete").agg(F.min(_latest_first()).alias("best"))
+    point = F.struct("tier", F.col("best.age").alias("age"), (-F.col("complete")).alias("less"), F.col("best.gold_id").alias("gold_id"))
+    sorted_ = latest.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("sorted"))
+
+    def add(done: Column, p: Column) -> Column:
+        over = F.filter(done, lambda q: (q["age"] <= p["age"]) & (q["less"] <= p["less"]))
+        layer = F.coalesce(F.array_max(F.transform(over, lambda q: q["layer"])), F.lit(0)) + 1
+        return F.concat(done, F.array(F.struct(p["tier"].alias("tier"), p["age"].alias("age"), p["less"].alias("less"), p["gold_id"].alias("gold_id"), layer.alias("layer"))))
+
+    none = F.array().cast("array<struct<tier:int,age:bigint,less:int,gold_id:string,layer:int>>")
+    return sorted_.select(*keys, F.aggregate("sorted", none, add).alias("points"))
+
+
 def field_survivors(members: DataFrame) -> DataFrame:
     """``group_id, field_name, gold_id``: whose value of each field survives; one row per stated field.
 
-    Per tier only the latest stating member can be undominated; it is, if it is later than every
-    member of a lower tier. Of the undominated points the policy takes the lowest tier.
+    From the first layer of the members that state the field: lowest tier, then latest update, then
+    smallest id.
     """
     stating = F.explode(F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())).alias("field_name")
-    each = members.select("group_id", "tier", "updated_at", "gold_id", stating)
-    points = each.groupBy("group_id", "field_name", "tier").agg(F.min(_latest_first()).alias("best"))
-    lower = Window.partitionBy("group_id", "field_name").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)
-    front = points.withColumn("ahead", F.min("best.age").over(lower)).where("ahead is null or best.age < ahead")
-    return front.groupBy("group_id", "field_name").agg(F.min(F.struct("tier", "best")).alias("p")).select("group_id", "field_name", F.col("p.best.gold_id").alias("gold_id"))
+    layers = dominance_layers(members.select("group_id", "tier", "complete", "updated_at", "gold_id", stating), "group_id", "field_name")
+    first = F.transform(F.filter("points", lambda p: p["layer"] == 1), lambda p: F.struct(p["tier"].alias("tier"), p["age"].alias("age"), p["gold_id"].alias("gold_id")))
+    return layers.select("group_id", "field_name", F.array_min(first)["gold_id"].alias("gold_id"))
 
 
 def record_skyline(members: DataFrame) -> DataFrame:
-    """``group_id, gold_id, tier, complete, points, undominated``: the surviving record of each group.
-
-    Dominance over (completeness, recency, trust) is tested between the at most
-    tiers x completeness points of a group, in an equi-join on the group.
-    """
-    points = members.groupBy("group_id", "tier", "complete").agg(F.min(_latest_first()).alias("best"))
-    other = points.select("group_id", F.col("tier").alias("t2"), F.col("complete").alias("c2"), F.col("best.age").alias("a2"))
-    worse = (F.col("t2") <= F.col("tier")) & (F.col("c2") >= F.col("complete")) & (F.col("a2") <= F.col("best.age"))
-    strictly = (F.col("t2") < F.col("tier")) | (F.col("c2") > F.col("complete")) | (F.col("a2") < F.col("best.age"))
-    judged = points.join(other, "group_id").groupBy("group_id", "tier", "complete", "best").agg(F.max((worse & strictly).cast("int")).alias("dominated"))
-    pick = F.min(F.when(F.col("dominated") == 0, F.struct("tier", F.col("best.age").alias("age"), (-F.col("complete")).alias("less"), F.col("best.gold_id").alias("gold_id"))))
-    out = judged.groupBy("group_id").agg(pick.alias("p"), F.count("*").alias("points"), F.sum(1 - F.col("dominated")).alias("undominated"))
-    return out.select("group_id", F.col("p.gold_id").alias("gold_id"), F.col("p.tier").alias("tier"), (-F.col("p.less")).alias("complete"), "points", "undominated")
+    """``group_id, gold_id, tier, complete, points, undominated, layers``: the surviving record of each
+    group, and how many points and layers it was taken from."""
+    layers = dominance_layers(members, "group_id")
+    first = F.filter("points", lambda p: p["layer"] == 1)
+    pick = F.array_min(F.transform(first, lambda p: F.struct(p["tier"].alias("tier"), p["age"].alias("age"), p["less"].alias("less"), p["gold_id"].alias("gold_id"))))
+    out = layers.select("group_id", pick.alias("p"), F.size("points").alias("points"), F.size(first).alias("undominated"), F.array_max(F.transform("points", lambda p: p["layer"])).alias("layers"), F.col("points").alias("__all"))
+    return out.select("group_id", F.col("p.gold_id").alias("gold_id"), F.col("p.tier").alias("tier"), (-F.col("p.less")).alias("complete"), "points", "undominated", "layers", "__all")
 
 
 def build_survivors(members: DataFrame) -> DataFrame:
-    """One row per group: the surviving record's id and every field with the member it came from."""
-    picked = field_survivors(members)
+    """One row per group: the surviving record's id and every field, with the member it came from and
+    the layer of that member's tier and completeness."""
+    records = record_skyline(members).withColumnRenamed("gold_id", "survivor_id")
     value = F.coalesce(*[F.when(F.col("field_name") == f, F.col(f)) for f in FIELDS])
-    filled = picked.join(members, ["group_id", "gold_id"]).select("group_id", "field_name", "gold_id", value.alias("v"))
-    wide = filled.groupBy("group_id").agg(*[x for f in FIELDS for x in (F.max(F.when(F.col("field_name") == f, F.col("v"))).alias(f), F.max(F.when(F.col("field_name") == f, F.col("gold_id"))).alias(f"{f}_from"))])
-    return record_skyline(members).withColumnRenamed("gold_id", "survivor_id").join(wide, "group_id", "left")
+    donors = field_survivors(members).join(members.select("group_id", "gold_id", F.col("tier").alias("t"), F.col("complete").alias("c"), *FIELDS), ["group_id", "gold_id"])
+    at = donors.select("group_id", "field_name", "gold_id", value.alias("v"), "t", "c").join(records.select("group_id", "__all"), "group_id")
+    layer = F.array_min(F.transform(F.filter("__all", lambda p: (p["tier"] == F.col("t")) & (-p["less"] == F.col("c"))), lambda p: p["layer"]))
+    filled = at.select("group_id", "field_name", "gold_id", "v", layer.alias("layer"))
+    of = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
+    wide = filled.groupBy("group_id").agg(*[x for f in FIELDS for x in (of(f, "v").alias(f), of(f, "gold_id").alias(f"{f}_from"), of(f, "layer").alias(f"{f}_layer"))])
+    return records.drop("__all").join(wide, "group_id", "left")
