@@ -87,11 +87,11 @@ def dominance_layers(members: DataFrame, *keys: str) -> DataFrame:
 def field_survivors(members: DataFrame) -> DataFrame:
     """``group_id, field_name, gold_id``: whose value of each field survives; one row per stated field.
 
-    From the first layer of the members that state the field: lowest tier, then latest update, then
-    smallest id.
+    From the first layer of the members that state the field, over trust and recency (a field has no
+    degree of completeness): lowest tier, then latest update, then smallest id.
     """
     stating = F.explode(F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())).alias("field_name")
-    layers = dominance_layers(members.select("group_id", "tier", "complete", "updated_at", "gold_id", stating), "group_id", "field_name")
+    layers = dominance_layers(members.select("group_id", "tier", F.lit(0).alias("complete"), "updated_at", "gold_id", stating), "group_id", "field_name")
     first = F.transform(F.filter("points", lambda p: p["layer"] == 1), lambda p: F.struct(p["tier"].alias("tier"), p["age"].alias("age"), p["gold_id"].alias("gold_id")))
     return layers.select("group_id", "field_name", F.array_min(first)["gold_id"].alias("gold_id"))
 
