@@ -6,11 +6,19 @@ most probable part; every query visits its most probable parts and is ranked exa
 vectors are one point of the index, so a vector that a third of all rows share costs as much as any
 other; its rows come back through the members kept with the point.
 
-Parts are cut into blocks of bounded size on both sides, so no task ever holds an unbounded part.
+Parts grow in number with the collection, not in size. Beyond :data:`ONE_LEVEL` parts they are learned
+on two levels: the first classifier chooses among the square root of all parts, and within each of
+those another one, fitted by a task of its own on a bounded sample of its points, chooses further. A
+query ranks the parts of both levels by the product of their probabilities. Parts are also cut into
+blocks of bounded size on both sides, so no task ever holds an unbounded part.
+
+A collection of at most ``part_points`` points has one part, which every query meets whole: that is
+the exact search, which ``part_points=None`` asks for whatever the size.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +28,13 @@ from pyspark.sql import functions as F
 
 from cellarium.session import materialise
 
-#: Vectors the partitioner is fitted on, at most; chosen by hash, whatever the size of the collection.
+#: Vectors one classifier is fitted on, at most; chosen by hash, whatever the size of the collection.
 FIT_ROWS = 6_000
-#: Points one part should hold, and the range of the number of parts.
-PART_POINTS = 3_000
-PARTS = (4, 512)
-#: Parts a query visits.
-PROBES = 4
+#: Points one part should hold, parts that are learned on one level, and most classes of one classifier:
+#: parts keep their size up to the square of that many, some 2.6 * 10^8 points.
+PART_POINTS, ONE_LEVEL, MOST_CLASSES = 1_000, 64, 512
+#: Parts a query visits, and parts of the first level it may find them in.
+PROBES, FIRST_PROBES = 4, 3
 #: Points and queries of one block.
 BLOCK = 4_096
 QUERY_BLOCK = 8_192
@@ -118,12 +126,37 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def route(x: np.ndarray, w: tuple[np.ndarray, ...], probes: int) -> np.ndarray:
-    """The most probable parts of every vector, best first."""
+Router = tuple[np.ndarray, ...]
+
+
+def log_shares(x: np.ndarray, w: Router) -> np.ndarray:
+    """Logarithm of the probability of every class."""
     z = np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]
-    probes = min(probes, z.shape[1])
-    top = np.argpartition(-z, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, axis=1), axis=1, kind="stable"), axis=1)
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def best_columns(score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` greatest scores of every row, best first."""
+    k = min(k, score.shape[1])
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def route(x: np.ndarray, first: Router, second: dict[int, Router] | None, classes: int, probes: int) -> np.ndarray:
+    """The most probable parts of every vector, best first; part ``a * classes + b`` on two levels."""
+    upper = log_shares(x, first)
+    if second is None:
+        return best_columns(upper, probes)
+    top = best_columns(upper, FIRST_PROBES)
+    score = np.full((len(x), top.shape[1] * classes), -np.inf)
+    for a in np.unique(top):
+        i, j = np.nonzero(top == a)
+        lower = log_shares(x[i], second[a]) if a in second else np.zeros((len(i), 1))
+        for c in range(lower.shape[1]):
+            score[i, j * classes + c] = upper[i, a] + lower[:, c]
+    best = best_columns(score, probes)
+    return np.take_along_axis(top, best // classes, axis=1) * classes + best % classes
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -149,30 +182,65 @@ def distinct_points(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("point").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("members"))
 
 
-def build_index(points: DataFrame, probes: int = PROBES, fit_rows: int = FIT_ROWS, part_points: int = PART_POINTS) -> tuple[DataFrame, int]:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _thin(points: DataFrame, rows: float, n: int) -> DataFrame:
+    """About ``rows`` of ``n`` points, or all, chosen by hash."""
+    share = int(min(1.0, rows / max(n, 1)) * (1 << 20))
+    return points.where(F.pmod(F.xxhash64(F.lit(13), "point"), F.lit(1 << 20)) < share)
+
+
+def _second_level(points: DataFrame, first: Router, tops: int, classes: int, fit_rows: int, n: int) -> dict[int, Router]:
+    """A router of ``classes`` parts for every part of the first level; each is fitted by one task."""
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = _unit(b["vec"])
+                yield pd.DataFrame({"top": best_columns(log_shares(x.astype(np.float32), first), 1)[:, 0], "point": b["point"], "x": [r.tobytes() for r in x]})
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = unpack(rows["x"])
+        if len(x) < 2:
+            return pd.DataFrame({"top": [], "weights": []})
+        w = [a.astype(np.float32) for a in fit_partitions(x, min(classes, len(x)))]
+        return pd.DataFrame({"top": [key[0]], "weights": [pickle.dumps(w)]})
+
+    spread = _thin(points, 1.5 * fit_rows * tops, n).select("point", "vec").mapInPandas(assign, "top int, point long, x binary")
+    few = spread.withColumn("rank", F.row_number().over(Window.partitionBy("top").orderBy(F.xxhash64(F.lit(11), "point")))).where(F.col("rank") <= fit_rows).drop("rank")
+    fitted = few.groupBy("top").applyInPandas(fit, "top int, weights binary").collect()  # bounded: classes of either level times the hidden width
+    return {r["top"]: tuple(pickle.loads(r["weights"])) for r in fitted}
+
+
+def build_index(points: DataFrame, probes: int = PROBES, fit_rows: int = FIT_ROWS, part_points: int | None = PART_POINTS, one_level: int = ONE_LEVEL) -> tuple[DataFrame, int]:
     """``point, x, parts`` (unit vector as bytes, most probable parts best first) and the number of points.
 
-    Only the sample (at most ``fit_rows`` vectors) reaches the driver; the fitted weights that go to
-    the tasks are bounded by the hidden width times the largest number of parts.
+    Only a sample (at most ``fit_rows`` vectors) and the fitted weights reach the driver; both are
+    bounded by parameters.
     """
     n = points.count()
-    parts = int(np.clip(-(-n // part_points), 1, min(PARTS[1], max(1, n))))
-    # A hash filter thins the rows first, so that every task offers only its share of the sample.
-    order = F.xxhash64(F.lit(11), "point")
-    share = int(min(1.0, 2 * fit_rows / max(n, 1)) * (1 << 20))
-    thin = points.where(F.pmod(F.xxhash64(F.lit(13), "point"), F.lit(1 << 20)) < share)
-    sample = thin.orderBy(order, "point").limit(fit_rows).select("vec").toPandas()["vec"]
-    weights = None
+    parts = 1 if part_points is None else max(1, -(-n // part_points))
+    tops = parts if parts <= one_level else min(MOST_CLASSES, int(np.ceil(np.sqrt(parts))))
+    classes = 1 if parts <= one_level else min(MOST_CLASSES, -(-parts // tops))
+    first = second = None
     if parts > 1:
+        # A hash filter thins the rows first, so that the tasks together offer little more than the sample.
+        order = F.xxhash64(F.lit(11), "point")
+        sample = _thin(points, 1.1 * fit_rows, n).orderBy(order, "point").limit(fit_rows).select("vec").toPandas()["vec"]
         x = np.array(sample.tolist(), dtype=np.float64)
-        weights = tuple(a.astype(np.float32) for a in fit_partitions(x, parts))
+        first = tuple(a.astype(np.float32) for a in fit_partitions(x, min(tops, len(x))))
+        if classes > 1:
+            second = _second_level(points, first, tops, classes, fit_rows, n)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.array(b["vec"].tolist(), dtype=np.float64)
-                x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-                where = route(x.astype(np.float32), weights, probes) if weights else np.zeros((len(x), 1), dtype=np.int64)
+                x = _unit(b["vec"])
+                where = route(x.astype(np.float32), first, second, classes, probes) if first else np.zeros((len(x), 1), dtype=np.int64)
                 yield pd.DataFrame({"point": b["point"], "x": [r.tobytes() for r in x], "parts": where.tolist()})
 
     return points.select("point", "vec").mapInPandas(assign, "point long, x binary, parts array<int>"), n
@@ -185,36 +253,29 @@ def search(index: DataFrame, queries: DataFrame, k: int, min_cos: float = -1.0)
     blocks of bounded size on both sides; every query meets every block of its parts, so splitting
     changes no result. Equal cosines are ordered by point.
     """
-    sizes = {r["part"]: (r["n"], r["m"]) for r in _part_sizes(index, queries).collect()}
-    spread = max([1, *(-(-n // BLOCK) for n, _ in sizes.values())])
-    q_spread = max([1, *(-(-m // QUERY_BLOCK) for _, m in sizes.values())])
-    blocks = F.create_map(*[F.lit(int(x)) for p, (n, _) in sizes.items() for x in (p, -(-n // BLOCK) or 1)]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    q_blocks = F.create_map(*[F.lit(int(x)) for p, (_, m) in sizes.items() for x in (p, -(-m // QUERY_BLOCK) or 1)]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    part = F.element_at("parts", 1)
-    stored = index.select("point", "x", part.alias("part"))
-    stored = stored.withColumn("block", F.pmod(F.xxhash64("point"), blocks[F.col("part")].cast("long")).cast("int"))
-    asked = queries.select(F.col("point").alias("q"), F.col("x").alias("y"), F.explode("parts").alias("part"))
-    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("q"), q_blocks[F.col("part")]).cast("int"))
-    if q_spread > 1:
-        stored = stored.withColumn("q_block", F.explode(F.sequence(F.lit(0), q_blocks[F.col("part")] - 1)))
-    else:
-        stored = stored.withColumn("q_block", F.lit(0))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)) if spread > 1 else F.lit(0))
+    # One row per part, so at most the square of MOST_CLASSES short rows.
+    sizes = F.broadcast(materialise(_part_sizes(index, queries)))
+    last = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    stored = index.select("point", "x", F.element_at("parts", 1).alias("part")).join(sizes, "part")
+    stored = stored.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks").cast("long")).cast("int")).withColumn("q_block", F.explode(last("q_blocks")))
+    asked = queries.select(F.col("point").alias("q"), F.col("x").alias("y"), F.explode("parts").alias("part")).join(sizes, "part")
+    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("q"), F.col("q_blocks").cast("long")).cast("int")).withColumn("block", F.explode(last("blocks")))
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return rank_block(a["point"].to_numpy(), unpack(a["x"]), b["q"].to_numpy(), unpack(b["y"]), k, min_cos)
 
     keys = ["part", "block", "q_block"]
-    found = stored.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "q long, point long, cos double")
+    found = stored.select("point", "x", *keys).groupBy(*keys).cogroup(asked.select("q", "y", *keys).groupBy(*keys)).applyInPandas(compare, "q long, point long, cos double")
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "point"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).drop("rank")
 
 
 def _part_sizes(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Points and queries per part; as many rows as there are parts."""
+    """``part, blocks, q_blocks``: into how many blocks each part is cut on either side."""
     n = index.select(F.element_at("parts", 1).alias("part"), F.lit(1).alias("n"), F.lit(0).alias("m"))
     m = queries.select(F.explode("parts").alias("part"), F.lit(0).alias("n"), F.lit(1).alias("m"))
-    return n.unionByName(m).groupBy("part").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    blocks = lambda c, size: F.greatest(F.ceil(F.sum(c) / size), F.lit(1)).cast("int")
+    return n.unionByName(m).groupBy("part").agg(blocks("n", BLOCK).alias("blocks"), blocks("m", QUERY_BLOCK).alias("q_blocks"))
 
 
 def unpack(col: pd.Series) -> np.ndarray:
@@ -252,15 +313,16 @@ def rank_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
     return pd.DataFrame({"q": cat(out_q, np.int64), "point": cat(out_p, np.int64), "cos": cat(out_c, np.float64)})
 
 
-def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_cos: float = -1.0, queries: Column | None = None, probes: int = PROBES) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_cos: float = -1.0, queries: Column | None = None, probes: int = PROBES, part_points: int | None = PART_POINTS) -> DataFrame:
     """``id, other, cos``: the ``k`` most similar other rows of every row (of ``queries``, if given).
 
     Equal cosines are ordered by the smaller id. Rows without a direction neither ask nor answer.
-    An empty table gives an empty result. ``queries`` is a condition on ``id``.
+    An empty table gives an empty result. ``queries`` is a condition on ``id``; without ``part_points``
+    the search is exact.
     """
     rows = materialise(usable_vectors(df, id_col, vec_col))
     points = materialise(distinct_points(rows, k + 1))
-    index, _ = build_index(points, probes)
+    index, _ = build_index(points, probes, part_points=part_points)
     index = materialise(index)
     asking = rows.select("id", "point") if queries is None else rows.where(queries).select("id", "point")
     asked = index if queries is None else index.join(asking.select("point").distinct(), "point", "left_semi")
@@ -274,12 +336,9 @@ def most_similar(df: DataFrame, id_col: str, vec_col: str, k: int = 5, min_cos:
 
 
 def own_taste(gold: DataFrame) -> DataFrame:
-    """Products whose vector is their own: the source is given and is not the style.
-
-    The type is compared without case and blanks, as entity types are entered like any other text.
-    """
+    """Products whose vector is their own: the source is given and is not the style."""
     source = F.trim(F.get_json_object("record", "$.sensory.source"))
-    return gold.where(F.lower(F.trim("entity_type")) == "product").where(F.col("sensory").isNotNull()).where((source != "") & (F.lower(source) != "style_prior")).select("id", "sensory")
+    return gold.where("entity_type = 'product'").where(F.col("sensory").isNotNull()).where((source != "") & (F.lower(source) != "style_prior")).select("id", "sensory")
 
 
 def taste_pairs(gold: DataFrame, k: int = 5, min_cos: float = 0.999) -> DataFrame:

@@ -93,12 +93,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return entities.match_entities(table(spark, d, "ttb_cola_sample"), table(spark, d, "gold")).select("ttb_id", "gold_id")
+    return entities.match_entities(table(spark, d, "ttb_cola_sample"), table(spark, d, "gold"), table(spark, d, "canon_list")).select("ttb_id", "gold_id")
 
 
 @query("p6_matches")
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
-    return entities.match_entities(table(spark, d, "ttb_cola_sample"), table(spark, d, "gold"))
+    return entities.match_entities(table(spark, d, "ttb_cola_sample"), table(spark, d, "gold"), table(spark, d, "canon_list"))
 
 
 @query("p10_found")

@@ -46,11 +46,18 @@ def test_neighbours_through_learned_partitions_reach_their_recall(spark):
     index = index.cache()
     found = neighbours.search(index, index, 5).join(points.select(F.col("point").alias("q"), F.col("members")[0].alias("a")), "q").join(points.select("point", F.col("members")[0].alias("b")), "point")
     got = {(r["a"], r["b"]) for r in found.select("a", "b").collect()}
+    assert neighbours.search(*[neighbours.build_index(points, part_points=None)[0]] * 2, 5).select("q", "point").exceptAll(neighbours.search(*[neighbours.build_index(points, part_points=10**6)[0]] * 2, 5).select("q", "point")).count() == 0
+    two, _ = neighbours.build_index(points, part_points=100, one_level=8)
+    two = two.cache()
+    assert two.select(F.element_at("parts", 1)).distinct().count() > 20 and two.where(F.size("parts") != F.size(F.array_distinct("parts"))).count() == 0
+    found2 = neighbours.search(two, two, 5).join(points.select(F.col("point").alias("q"), F.col("members")[0].alias("a")), "q").join(points.select("point", F.col("members")[0].alias("b")), "point")
+    got2 = {(r["a"], r["b"]) for r in found2.select("a", "b").collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim = u @ u.T
     np.fill_diagonal(sim, -1)
     want = {(i, int(j)) for i in range(n) for j in np.argsort(-sim[i])[:5]}
     assert len(got & want) / len(want) >= 0.9
+    assert len(got2 & want) / len(want) >= 0.9
 
 
 def test_partitions_are_balanced():
@@ -149,6 +156,31 @@ def test_entities_match_on_damaged_names_and_never_across_numbers(spark):
     assert entities.match_entities(f, gold.limit(0)).count() == 0
 
 
+def test_names_keep_every_word_but_their_class():
+    labels = frozenset({"barley wine ale", "porter"})
+    read = lambda b, n: entities.read_name(b, n, labels)
+    assert read("Old House", "Old House Old Barrel Reserve Cask") == ("oldhouse", ["old", "barrel", "reserve", "cask"], "")
+    assert read("Old House", "Old Barrel Barley Wine Al") == ("oldhouse", ["old", "barrel"], "")
+    assert read(None, "Torbrinarqui Mill Old Barrel Porter") == ("torbrinarquimill", ["old", "barrel"], "")
+    assert read("Three Word House", "Three Word House Barrel 12 Yaer Batch 7") == ("threewordhouse", ["barrel", "batch", "7"], "y12")
+
+
+def test_drinks_that_differ_in_a_third_word_do_not_match(spark):
+    rec = lambda **x: json.dumps(x)
+    names = ["Rusty Barrel", "Rusty Barrel Reserve Cask", "Rusty Barrel Smoked"]
+    gold = spark.createDataFrame([("b", "brand", rec(name="Tormel Harbor"))] + [(f"p:{i}", "product", rec(brand_id="b", name=n, aliases=[])) for i, n in enumerate(names)], "id string, entity_type string, record string")
+    f = spark.createDataFrame([(f"t{i}", "TORMEL HARBOR", n.upper(), None, None, "Ale") for i, n in enumerate([*names, "Rusty Barrel Organic"])], "ttb_id string, brand_name string, fanciful_name string, upc string, abv double, class_type string")
+    told = []
+    got = {(r["ttb_id"], r["gold_id"]) for r in entities.match_entities(f, gold, told_of=told).collect()}
+    assert got == {("t0", "p:0"), ("t1", "p:1"), ("t2", "p:2")} and told[-1][1] < entities.SETTLED
+
+
+def test_barcodes_are_read_with_and_without_their_check_digit(spark):
+    codes = ["412345678903", "0412345678903", "4 12345 67890 3", "41234567890", "412345678904", "41234567", "111111111111", None]
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    assert [r[0] for r in df.select(entities.barcode_key(F.col("c"))).collect()] == ["412345678903"] * 4 + ["412345678904", None, None, None]
+
+
 def test_competing_pairs_share_their_probability(spark):
     scored = spark.createDataFrame([(1, 10, 2.0, "x", ""), (1, 11, 2.0, "y", ""), (2, 12, 2.0, "", ""), (3, 13, -9.0, "", "")], "l long, r long, prior double, l_rival string, r_rival string")
     p = {(r["l"], r["r"]): r["prob"] for r in entities.propagate(scored).collect()}
