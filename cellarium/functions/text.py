@@ -110,14 +110,24 @@ def bigram_dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(2 * common / total)
 
 
-#: Words longer than this are compared as they are: no vocabulary word is as long.
-LONGEST_WORD = 64
+def deletions(word: Column, longest: int | None = None) -> Column:
+    """The word without any one letter; empty for words above ``longest`` letters, if that is given."""
+    each = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    fits = F.length(word) >= 1 if longest is None else F.length(word).between(1, longest)
+    return F.when(fits, each).otherwise(F.array().cast("array<string>"))
+
 
+#: Words up to this long are keyed by their deletions, whose letters grow with the square of the length;
+#: longer ones by their ends, of this many letters each.
+DELETED_UP_TO, END = 64, 24
 
-def deletions(word: Column, longest: int = LONGEST_WORD) -> Column:
-    """The word without any one letter; two words within one edit share one of these or themselves.
 
-    Empty for words above ``longest``, whose deletions would grow with the square of their length.
+def one_edit_keys(word: Column) -> Column:
+    """Keys of which any two words within one edit or swap share at least one.
+
+    Short words: the word and its deletions. Long words: an edit leaves the start or the end as it was.
+    Words about as long as the limit have both kinds.
     """
-    each = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.when(F.length(word).between(1, longest), each).otherwise(F.array().cast("array<string>"))
+    long = F.length(word) >= DELETED_UP_TO
+    ends = F.array(F.concat(F.lit("<"), F.substring(word, 1, END)), F.concat(F.lit(">"), F.substring(word, -END, END)))
+    return F.array_distinct(F.concat(F.array(word), deletions(word, DELETED_UP_TO), F.when(long, ends).otherwise(F.array().cast("array<string>"))))

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 # The first phrase found in a filing's class decides its category.
 CATEGORY_RULES = [
-    ("single malt", "spirit"), ("ale", "beer"), ("lager", "beer"), ("stout", "beer"), ("porter", "beer"), ("malt beverage", "beer"), ("beer", "beer"), ("whisk", "spirit"), ("bourbon", "spirit"), ("rye", "spirit"), ("tequila", "spirit"),
-    ("mezcal", "spirit"), ("brandy", "spirit"), ("grappa", "spirit"), ("liqueur", "spirit"), ("absinthe", "spirit"), ("bitters", "spirit"), ("aquavit", "spirit"), ("vodka", "spirit"), ("gin", "spirit"), ("rum", "spirit"), ("sake", "sake"), ("cider", "cider"), ("mead", "mead"), ("wine", "wine"),
+    ("single malt", "spirit"),
+    *[(k, "beer") for k in ("ale", "lager", "stout", "porter", "malt beverage", "beer")],
+    *[(k, "spirit") for k in ("whisky", "whiskey", "bourbon", "rye")],
+    *[(k, "spirit") for k in ("tequila", "mezcal", "agave")],
+    *[(k, "spirit") for k in ("brandy", "cognac", "armagnac", "calvados", "pisco", "grappa", "slivovitz")],
+    *[(k, "spirit") for k in ("liqueur", "cordial", "schnapps", "amaretto", "triple sec", "curacao", "anisette", "ouzo", "absinthe", "bitters", "arack", "raki", "aquavit")],
+    *[(k, "spirit") for k in ("vodka", "gin", "rum", "neutral spirits", "spirits")],
+    ("sake", "sake"), ("cider", "cider"), ("mead", "mead"), ("wine", "wine"),
 ]
 FAMILY_RULES = [("sour", "gose|lambic|weisse|bruin"), ("dark", "stout|porter|schwarz|dubbel|doppelbock"), ("hoppy", "india|hazy|pale ale"), ("wheat", "wheat|weizen|witbier"), ("crisp", "lager|pils|helles|kolsch"), ("strong", "quadrupel|tripel|barley"), ("spirit", "bourbon|malt|gin|rum|agave"), ("wine", "wine|riesling|syrah|chardonnay|sparkling")]
 KIND_RULES = [("malt", "malt|barley|oats|rye|wheat"), ("hop", "hop"), ("yeast", "yeast|culture"), ("water", "water")]
@@ -19,10 +25,6 @@ def category_of(class_type: Column) -> Column:
     return F.coalesce(*[F.when(low.contains(k), F.lit(c)) for k, c in CATEGORY_RULES], F.lit("other"))
 
 
-def category_sql(column: str) -> str:
-    return "case " + " ".join(f"when contains(lower({column}), '{k}') then '{c}'" for k, c in CATEGORY_RULES) + " else 'other' end"
-
-
 def family_of(style: Column) -> Column:
     low = F.lower(style)
     return F.coalesce(*[F.when(low.rlike(p), F.lit(f)) for f, p in FAMILY_RULES])
@@ -37,9 +39,15 @@ def ingredient_kind(name: Column) -> Column:
 
 
 def overlap_argmax(texts: DataFrame, regions: DataFrame, width: float, height: float) -> DataFrame:
-    """``t, k, a``: the region each text overlaps most, among those in the same band of height; ties to the smaller region."""
-    r = regions.select("k", F.col("x").alias("rx"), F.col("y").alias("ry"), F.floor(F.col("y") / height).alias("band"))
-    both = texts.withColumn("band", F.floor(F.col("y") / height)).join(r, "band")
+    """``t, k, a``: the region each text overlaps most; ties to the smaller region.
+
+    Every region is listed in all the cells of a grid of its own size that it reaches into, every text
+    likewise, so two boxes that overlap anywhere meet in at least one cell.
+    """
+    cells = lambda c, size: F.sequence(F.floor(F.col(c) / size), F.floor((F.col(c) + size) / size))
+    spread = lambda df, x, y: df.withColumn("column", F.explode(cells(x, width))).withColumn("row", F.explode(cells(y, height)))
+    r = spread(regions.select("k", F.col("x").alias("rx"), F.col("y").alias("ry")), "rx", "ry")
+    both = spread(texts.select("t", "x", "y"), "x", "y").join(r, ["column", "row"])
     side = lambda a, b, size: F.greatest(F.lit(0.0), F.least(a, b) + size - F.greatest(a, b))
     area = side(F.col("x"), F.col("rx"), width) * side(F.col("y"), F.col("ry"), height)
     best = both.withColumn("a", area).where("a > 0").groupBy("t").agg(F.min(F.struct((-F.col("a")).alias("a"), "k")).alias("m"))

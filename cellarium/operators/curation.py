@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +51,15 @@ def agreed_values(claims: DataFrame, tolerance: float) -> DataFrame:
     return g.where(F.col("spread") <= tolerance).select("key", (tenths / 10).alias("value"), "sources")
 
 
+def best_spelling(said: DataFrame, key: str) -> DataFrame:
+    """``key, name`` of ``key, name, account``: the spelling most accounts use; then the one with the most
+    words of four letters, the longest, the first of the alphabet."""
+    long = F.size(F.filter(F.split(F.trim("name"), r"\s+"), lambda w: F.length(w) >= 4))
+    n = said.where(f"{key} is not null and name is not null").groupBy(key, "name").agg(F.count_distinct("account").alias("accounts"))
+    order = F.struct((-F.col("accounts")).alias("a"), (-long).alias("w"), (-F.length("name")).alias("l"), "name")
+    return n.groupBy(key).agg(F.min(order).alias("m")).select(key, F.col("m.name").alias("name"))
+
+
 def recipe_axes(ingredients: DataFrame) -> DataFrame:
     """``id, axis, x``: what the roles of a recipe's ingredients add to each axis, at most 1."""
     lit_map = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
@@ -85,15 +97,61 @@ def taste_sentence(axes: Column, names: list[str]) -> Column:
     return F.when(axes.isNotNull(), F.format_string("Mostly %s, with some %s.", word(0), word(1)))
 
 
+# Least overlap of two lines as a share of the narrower one, and greatest gap between them
+# as a multiple of the taller one and at least.
+LEAST_OVERLAP, GAP_HEIGHTS, LEAST_GAP = 0.3, 1.5, 0.04
+
+
+def stand_together(a: tuple[float, float, float, float], b: tuple[float, float, float, float]) -> bool:
+    """Whether two boxes ``x, y, w, h`` overlap enough sideways and stand close enough above each other."""
+    narrow = min(a[2], b[2])
+    across = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    gap = max(a[1], b[1]) - min(a[1] + a[3], b[1] + b[3])
+    return narrow > 0 and across > 0 and across / narrow >= LEAST_OVERLAP and max(gap, 0.0) <= max(GAP_HEIGHTS * max(a[3], b[3]), LEAST_GAP)
+
+
+def join_boxes(rows: list[tuple[int, float, float, float, float]]) -> list[tuple[int, int]]:
+    """``(pos, cluster)`` of the lines ``(pos, x, y, w, h)`` of one frame; a cluster is named by its first line.
+
+    Lines are taken from the top down; one that starts below the reach of all lines so far closes them.
+    """
+    root = {r[0]: r[0] for r in rows}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    tallest, near = max((r[4] for r in rows), default=0.0), []
+    for r in sorted(rows, key=lambda r: r[2]):
+        reach = max(GAP_HEIGHTS * tallest, LEAST_GAP)
+        near = [q for q in near if q[2] + q[4] + reach >= r[2]]
+        for q in near:
+            if stand_together(q[1:], r[1:]):
+                a, b = find(q[0]), find(r[0])
+                root[max(a, b)] = min(a, b)
+        near.append(r)
+    return [(r[0], find(r[0])) for r in rows]
+
+
 def text_clusters(boxes: DataFrame) -> DataFrame:
-    """``frame_id, pos, cluster`` of lines that stand close below each other, linked to the first of each run.
+    """``frame_id, pos, cluster`` of lines that stand together, directly or through others of their frame.
 
-    A line continues the one before it in its frame if their gap is small and they overlap enough.
+    The lines of a frame arrive together and are joined as they stream by; a task holds one frame.
     """
-    w = Window.partitionBy("frame_id").orderBy("y", "x", "pos")
-    prev = lambda c: F.lag(c).over(w)
-    wide = interval_overlap(F.col("x"), F.col("x") + F.col("w"), prev("x"), prev("x") + prev("w")) / F.least("w", prev("w"))
-    gap = F.col("y") - (prev("y") + prev("h"))
-    starts = F.when((wide >= 0.3) & (gap <= F.greatest(1.5 * prev("h"), F.lit(0.04))), 0).otherwise(1)
-    marked = boxes.withColumn("__s", starts)
-    return marked.select("frame_id", "pos", F.sum("__s").over(w).alias("cluster"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame, rows = None, []
+        for b in batches:
+            out = []
+            for f, *r in zip(b["frame_id"], b["pos"], b["x"], b["y"], b["w"], b["h"]):
+                if f != frame and rows:
+                    out += [(frame, *c) for c in join_boxes(rows)]
+                    rows = []
+                frame = f
+                rows.append(tuple(r))
+            yield pd.DataFrame(out, columns=["frame_id", "pos", "cluster"])
+        yield pd.DataFrame([(frame, *c) for c in join_boxes(rows)] if rows else [], columns=["frame_id", "pos", "cluster"])
+
+    b = boxes.where("frame_id is not null and pos is not null and x is not null and y is not null").select(F.col("frame_id").cast("long"), F.col("pos").cast("long"), *[F.col(c).cast("double") for c in "xywh"])
+    return b.repartition("frame_id").sortWithinPartitions("frame_id", "y", "pos").mapInPandas(fold, "frame_id long, pos long, cluster long")

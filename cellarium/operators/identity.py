@@ -32,6 +32,17 @@ def _words(name):
     return F.array_distinct(F.filter(F.split(T.fold(name), "[^a-z0-9]+"), lambda w: w != ""))
 
 
+def rarest_word(rows: DataFrame, key: str, words: str) -> DataFrame:
+    """``word`` with ``key, words``: the word of every row that the fewest rows hold; rows without words are left out.
+
+    What contains all words of a row contains this one, so containment is a join on it.
+    """
+    each = rows.select(key, F.explode(words).alias("word"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    first = each.join(df, "word").groupBy(key).agg(F.min(F.struct("df", "word"))["word"].alias("word"))
+    return rows.select(key, words).join(first, key)
+
+
 def exact_buckets(names: DataFrame) -> DataFrame:
     """Groups of names with the same set of words: ``k, n, keeper`` (the smallest id)."""
     k = F.array_join(F.array_sort(_words(F.col("name"))), " ")

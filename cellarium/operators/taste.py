@@ -34,14 +34,16 @@ def bands(events: DataFrame) -> DataFrame:
 
 
 def centroids(signal: DataFrame, items: DataFrame, vector: str) -> DataFrame:
-    """``user_id, centroid``: mean of the liked vectors minus a share of the mean of the disliked.
+    """``user_id, centroid``: mean of the liked vectors minus a share of the mean of the disliked, each
+    axis within 0 and 1.
 
     Summed axis by axis, so a user with any number of signals is a partial aggregate. Users without
-    a liked item have no centroid.
+    a liked item have no centroid, nor have those for whom nothing is left.
     """
     x = signal.join(items, "k").select("user_id", "w", F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     mean = lambda w: F.try_divide(F.sum(F.col("x") * w), F.sum(w))
     like, dislike = F.when(F.col("w") > 0, F.col("w")), F.when(F.col("w") < 0, -F.col("w"))
     m = x.groupBy("user_id", "i").agg(mean(like).alias("p"), mean(dislike).alias("n")).where("p is not null")
-    axis = F.struct("i", (F.col("p") - DISLIKE * F.coalesce("n", F.lit(0.0))).alias("x"))
-    return m.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(axis)), lambda a: a["x"]).alias("centroid"))
+    left = F.col("p") - DISLIKE * F.coalesce("n", F.lit(0.0))
+    axis = F.struct("i", F.greatest(F.lit(0.0), F.least(F.lit(1.0), left)).alias("x"))
+    return m.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(axis)), lambda a: a["x"]).alias("centroid")).where(F.exists("centroid", lambda x: x > 0))

@@ -1,6 +1,6 @@
 """Quantities recorded in different units, brought to one unit.
 
-Text is read into at most three ``(number, unit)`` measures, once per distinct text of an Arrow
+Text is read into the ``(number, unit)`` measures of one size, once per distinct text of an Arrow
 batch; each measure meets the conversion table in a broadcast equi-join on ``(source unit, target unit)``. The
 table has one row per ordered pair of known units, so its size is bounded by the unit graph and
 never grows with the data. No row is shuffled.
@@ -66,7 +66,8 @@ _THOUSANDS, _COMMA = re.compile(r"(?<![\d.,])([1-9]\d{0,2}),(\d{3})(?=\s*m)"), r
 _AGAIN = re.compile(rf"({_UNIT})\b\s*[;/(-].*$", re.DOTALL)
 _MEASURE = re.compile(rf"({_NUMBER})\s*-?\s*(?:us\s+|imp(?:erial)?\s+)?({_UNIT})\b")
 _KEY = {spelled: unit for unit, all_ in SPELLINGS.items() for spelled in all_}
-_LARGER = {"gal", "qt", "pt"}
+#: Units in which one size can be stated together, from the largest down; each at most once.
+_DOWN = ["bbl", "gal", "qt", "pt", "floz"]
 
 
 def spelled_number(run: str) -> str:
@@ -95,7 +96,10 @@ def read_number(text: str) -> Decimal | None:
 
 
 def read_measures(raw: str | None) -> list[tuple[Decimal, str]]:
-    """Measures of the first size a text states; two or three when they add up (``1 pint 6 fl oz``).
+    """Measures of the first size a text states; several when they add up (``1 pint 6 fl oz``).
+
+    Measures add up as long as each unit is smaller than the one before, down to fluid ounces, so there
+    are never more than there are such units.
 
     Number words and the letter O are read as digits, pack counts are left out, and a second
     statement of the same size (after ``;``, ``/``, ``-`` or in brackets) is not read, as it agrees.
@@ -111,12 +115,18 @@ def read_measures(raw: str | None) -> list[tuple[Decimal, str]]:
     for number, unit in _MEASURE.findall(_AGAIN.sub(r"\1", t)):
         if (value := read_number(number)) is not None:
             found.append((value, _KEY[re.sub(r"\s+", "", unit)]))
-    if not (len(found) > 1 and found[0][1] in _LARGER and found[-1][1] not in _LARGER):
-        found = found[:1]
-    return [(v, u if u in METRIC else system + u) for v, u in found[:3]]
+    run = found[:1]
+    for value, unit in found[1:]:
+        if not (run[-1][1] in _DOWN and unit in _DOWN and _DOWN.index(unit) > _DOWN.index(run[-1][1])):
+            break
+        run.append((value, unit))
+    if len(run) > 1 and run[-1][1] != _DOWN[-1]:
+        run = run[:1]
+    return [(v, u if u in METRIC else system + u) for v, u in run]
 
 
-_PARTS = StructType([f for i in range(3) for f in (StructField(f"n{i}", NUMBER_TYPE), StructField(f"u{i}", StringType()))])
+_MOST = len(_DOWN)
+_PARTS = StructType([f for i in range(_MOST) for f in (StructField(f"n{i}", NUMBER_TYPE), StructField(f"u{i}", StringType()))])
 
 
 @F.pandas_udf(_PARTS)
@@ -130,14 +140,14 @@ def measures_udf(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for raw in distinct:
         m = read_measures(raw if isinstance(raw, str) else None)
-        rows.append([x for i in range(3) for x in (m[i] if i < len(m) else (None, None))])
-    return pd.DataFrame(rows, columns=["n0", "u0", "n1", "u1", "n2", "u2"], dtype=object).take(codes).reset_index(drop=True)
+        rows.append([x for i in range(_MOST) for x in (m[i] if i < len(m) else (None, None))])
+    return pd.DataFrame(rows, columns=_PARTS.names, dtype=object).take(codes).reset_index(drop=True)
 
 
 def measures_in_text(raw: Column) -> Column:
     """The measures a text states, as an array; empty for null, blank and unreadable texts."""
     parts = measures_udf(raw)
-    each = F.array(*[F.struct(parts[f"n{i}"].alias("number"), parts[f"u{i}"].alias("unit")) for i in range(3)])
+    each = F.array(*[F.struct(parts[f"n{i}"].alias("number"), parts[f"u{i}"].alias("unit")) for i in range(_MOST)])
     return F.filter(each, lambda m: m["unit"].isNotNull()).cast(MEASURES)
 
 
@@ -170,13 +180,14 @@ def conversion_table(spark: SparkSession, edges=VOLUME_EDGES) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def convert_measures(df: DataFrame, measures: str, target: str, out: str, edges=VOLUME_EDGES, parts: int = 3) -> DataFrame:
+def convert_measures(df: DataFrame, measures: str, target: str, out: str, edges=VOLUME_EDGES, parts: int = _MOST) -> DataFrame:
     """Add ``out``: the measures in ``target``, added up; null if there is none or a unit is unknown.
 
-    Exact decimal arithmetic; a total of zero or less is null. ``df`` keeps all rows and columns.
+    Exact decimal arithmetic; a total of zero or less is null. ``df`` keeps all rows and columns. An
+    array of more than ``parts`` measures gives null.
     """
     conv = F.broadcast(conversion_table(df.sparkSession, edges).where(F.col("dst_unit") == target).select("src_unit", "scale", "offset_"))
-    total, known, m = F.lit(0).cast("decimal(38,18)"), F.size(measures) > 0, F.col(measures)
+    total, known, m = F.lit(0).cast("decimal(38,18)"), F.size(measures).between(1, parts), F.col(measures)
     names = df.columns
     for i in range(parts):
         side = conv.select(F.col("src_unit").alias(f"__u{i}"), F.col("scale").alias(f"__s{i}"), F.col("offset_").alias(f"__o{i}"))

@@ -30,27 +30,34 @@ def txt_name_tokens(spark, d):
 _TRI = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: ('  ' || lower({0}) || ' ')[i:i+2]))"
 
 
-@query("txt_trigrams", f"select n_nationkey, list_sort({_TRI.format('n_name')}) grams from nation")
+_NAMES = "select distinct name from gold where entity_type = 'producer' and name is not null"
+
+
+@query("txt_trigrams", f"select name, list_sort({_TRI.format('strip_accents(name)')}) grams from ({_NAMES})")
 def txt_trigrams(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.array_sort(T.trigrams(F.col("n_name"))).alias("grams"))
+    return entities(spark, d, "producer").where("name is not null").select("name").distinct().select("name", F.array_sort(T.trigrams(F.col("name"))).alias("grams"))
 
 
-@query("txt_word_trigrams", "select n_nationkey, list_sort(list_distinct(flatten(list_transform(string_split_regex(lower(n_name), '[^a-z0-9]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i+2]))))) grams from nation")
+@query("txt_word_trigrams", f"select name, list_sort(list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(strip_accents(name)), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i+2]))))) grams from ({_NAMES})")
 def txt_word_trigrams(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.array_sort(T.word_trigrams(F.col("n_name"))).alias("grams"))
+    return entities(spark, d, "producer").where("name is not null").select("name").distinct().select("name", F.array_sort(T.word_trigrams(F.col("name"))).alias("grams"))
 
 
-@query("txt_trigram_similarity", f"with g as (select n_nationkey k, n_regionkey r, {_TRI.format('n_name')} t from nation) select a.k a, b.k b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 9) sim from g a join g b on a.r = b.r and a.k < b.k")
+@query("txt_trigram_similarity", f"""with g as (select distinct product.style k from demo_products where product.style is not null), a as (select k, {_TRI.format('strip_accents(k)')} t from g), b as (select label l, {_TRI.format('strip_accents(label)')} t from canon_list where list_name = 'style')
+  select k, l, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 9) sim from a, b where len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) >= 0.5""")
 def txt_trigram_similarity(spark, d):
-    g = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("r"), T.trigrams(F.col("n_name")).alias("ta"))
-    h = g.select(F.col("a").alias("b"), "r", F.col("ta").alias("tb"))
-    return g.join(h, "r").where("a < b").select("a", "b", F.round(T.jaccard(F.col("ta"), F.col("tb")), 9).alias("sim"))
+    # Styles and labels meet on the trigrams they share; the counts of the join are the similarity.
+    typed = table(spark, d, "demo_products").select(F.col("product.style").alias("k")).where("k is not null").distinct()
+    labels = table(spark, d, "canon_list").where("list_name = 'style'").select(F.col("label").alias("l"))
+    grams = lambda df, c, n: df.select(c, T.trigrams(F.col(c)).alias("t")).select(c, F.size("t").alias(n), F.explode("t").alias("g"))
+    both = grams(typed, "k", "n").join(grams(labels, "l", "m"), "g").groupBy("k", "l", "n", "m").agg(F.count("*").alias("c"))
+    return both.withColumn("sim", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where("sim >= 0.5").select("k", "l", F.round("sim", 9).alias("sim"))
 
 
 @query("txt_one_edit", "with b as (select distinct regexp_replace(lower(brand_name), '[^a-z ]', '', 'g') b from ttb_cola_sample where length(brand_name) >= 5) select x.b a, y.b b from b x join b y on x.b < y.b and abs(length(x.b) - length(y.b)) <= 1 and damerau_levenshtein(x.b, y.b) <= 1")
 def txt_one_edit(spark, d):
     b = table(spark, d, "ttb_cola_sample").where("length(brand_name) >= 5").select(F.regexp_replace(F.lower("brand_name"), "[^a-z ]", "").alias("a")).distinct()
-    keyed = b.select("a", F.explode(F.array_union(F.array("a"), T.deletions(F.col("a")))).alias("k"))
+    keyed = b.select("a", F.explode(T.one_edit_keys(F.col("a"))).alias("k"))
     pairs = keyed.join(keyed.select(F.col("a").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
     return pairs.where(T.within_one_edit(F.col("a"), F.col("b")))
 
@@ -70,9 +77,11 @@ def txt_title_case(spark, d):
     return table(spark, d, "ttb_cola_sample").where("brand_name is not null").select("brand_name", T.title_case(F.col("brand_name")).alias("titled")).distinct()
 
 
-@query("txt_look_alikes", "select n_name, translate(translate(n_name, 'AEO', 'АЕО'), 'АЕО', 'AEO') latin from nation")
+@query("txt_look_alikes", f"select name, name latin from ({_NAMES})")
 def txt_look_alikes(spark, d):
-    return table(spark, d, "nation").select("n_name", T.latin_look_alikes(F.translate("n_name", "AEO", "АЕО")).alias("latin"))
+    # Names in which Latin letters were replaced by Cyrillic ones that look like them come back as they were.
+    n = entities(spark, d, "producer").where("name is not null").select("name").distinct()
+    return n.select("name", T.latin_look_alikes(F.translate("name", "ABEKMHOPCTyxaeopc", "АВЕКМНОРСТухаеорс")).alias("latin"))
 
 
 @query("txt_stated_strength", "select doc_id, regexp_extract(text, '([0-9]+(\\.[0-9]+)?)% alcohol', 1)::double abv from documents where regexp_matches(text, '[0-9]+(\\.[0-9]+)?% alcohol')")
@@ -145,15 +154,18 @@ def fn_evidence_tier(spark, d):
     return g.select("id", ranking.evidence_tier(j("$.sensory.source"), j("$.sensory.confidence").cast("double")).alias("tier"))
 
 
-METHODS = {"stated_by_producer": 1.0, "regulatory_filing": 1.0, "open_database": 0.9, "label_ocr": 0.8, "retailer_listing": 0.75, "review_consensus": 0.6, "user_contributed": 0.6, "llm_recalled": 0.4}
+# Greatest confidence a fact may have by the way it was obtained.
+CEILING = {"stated_by_producer": 1.0, "regulatory_filing": 1.0, "label_ocr": 0.9, "retailer_listing": 0.8, "open_database": 0.75, "community_clone": 0.6, "review_consensus": 0.6, "llm_recalled": 0.6, "llm_inferred_from_style_prior": 0.4, "user_contributed": 0.7}
 
 
-@query("fn_confidence_clamp", "select id, m, round(least(c, cap), 6) confidence from (select id, json_extract_string(record, '$.spec.abv_pct.provenance.method') m, json_extract_string(record, '$.spec.abv_pct.provenance.confidence')::double c from gold where entity_type = 'product') join (values " + ", ".join(f"('{m}', {c})" for m, c in METHODS.items()) + ") v(method, cap) on m = method")
+@query("fn_confidence_clamp", """select id, m, round(case when m in ('stated_by_producer', 'regulatory_filing') then least(c, 1.0) when m = 'label_ocr' then least(c, 0.9) when m = 'retailer_listing' then least(c, 0.8) when m = 'open_database' then least(c, 0.75)
+   when m in ('community_clone', 'review_consensus', 'llm_recalled') then least(c, 0.6) when m = 'llm_inferred_from_style_prior' then least(c, 0.4) when m = 'user_contributed' then least(c, 0.7) else c end, 6)::double confidence
+  from (select id, json_extract_string(record, '$.spec.abv_pct.provenance.method') m, json_extract_string(record, '$.spec.abv_pct.provenance.confidence')::double c from gold where entity_type = 'product')""")
 def fn_confidence_clamp(spark, d):
     j = lambda p: F.get_json_object("record", f"$.spec.abv_pct.provenance.{p}")
-    cap = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
-    g = entities(spark, d, "product").select("id", j("method").alias("m"), j("confidence").cast("double").alias("c")).withColumn("cap", cap[F.col("m")]).where("cap is not null")
-    return g.select("id", "m", F.round(F.least("c", "cap"), 6).alias("confidence"))
+    cap = F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv])
+    g = entities(spark, d, "product").select("id", j("method").alias("m"), j("confidence").cast("double").alias("c"))
+    return g.select("id", "m", F.round(F.when(F.col("c").isNotNull(), F.least("c", F.coalesce(cap[F.col("m")], F.lit(1.0)))), 6).alias("confidence"))
 
 
 @query("fn_recipe_completeness", "with r as (select id, from_json(json_extract(record, '$.recipe.ingredients'), '[{\"role\":\"VARCHAR\"}]') i, json_array_length(json_extract(record, '$.recipe.process_steps')) s from gold where entity_type = 'product') select id, (((len(list_filter(i, lambda x: x.role like '%malt%')) > 0)::int + (len(list_filter(i, lambda x: x.role like '%hop%')) > 0)::int + (len(list_filter(i, lambda x: x.role = 'yeast')) > 0)::int + (s > 0)::int) / 4.0)::double completeness from r")
@@ -193,7 +205,7 @@ def search_names(spark, d):
 
 @query("fuzzy_token_lookup", """with v as (select distinct w from (select unnest(string_split_regex(lower(name), '[^a-z]+')) w from gold where entity_type = 'brand' and name is not null) where length(w) >= 5),
   q as (select distinct w q from (select unnest(string_split_regex(lower(brand_name), '[^a-z]+')) w from ttb_cola_sample where brand_name is not null) where length(w) >= 5)
-  select q, w, case when q = w then 1.0 when damerau_levenshtein(q, w) <= 1 then 0.7 else 0.6 end::double weight from q join v on damerau_levenshtein(q, w) <= 1 or (starts_with(w, q) or starts_with(q, w))""")
+  select q, w, case when q = w then 1.0 when damerau_levenshtein(q, w) <= 1 then 0.7 else 0.6 end::double weight from q join v on damerau_levenshtein(q, w) <= 1 or starts_with(w, q) or starts_with(q, w) or ends_with(w, q) or ends_with(q, w)""")
 def fuzzy_token_lookup(spark, d):
     words = lambda df, c: df.where(F.col(c).isNotNull()).select(F.explode(F.split(F.lower(c), "[^a-z]+")).alias("w")).where("length(w) >= 5").distinct()
     return retrieval.token_lookup(words(table(spark, d, "ttb_cola_sample"), "brand_name").withColumnRenamed("w", "q"), words(entities(spark, d, "brand"), "name"))
@@ -209,10 +221,10 @@ def er_redirect_closure(spark, d):
     return identity.flatten_redirects(r, 8)
 
 
-@query("er_exact_buckets", """with t as (select id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> ''))), ' ') k, name from gold where entity_type = 'product' and length(name) > 8)
+@query("er_exact_buckets", """with t as (select id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(replace(replace(replace(replace(lower(strip_accents(name)), '''', ''), '’', ''), '‘', ''), '`', ''), '[^a-z0-9]+'), lambda w: w <> ''))), ' ') k, name from gold where entity_type = 'product' and name is not null)
   select k, count(*) n, min(id) keeper from t group by 1 having count(*) > 1""")
 def er_exact_buckets(spark, d):
-    p = entities(spark, d, "product").where("length(name) > 8").select("id", "name")
+    p = entities(spark, d, "product").where("name is not null").select("id", "name")
     return identity.exact_buckets(p).select("k", "n", "keeper")
 
 
@@ -306,15 +318,15 @@ def taste_band_novelty(spark, d):
 
 @query("taste_centroid", f"""with s as ({_SIGNALS}), x as (select user_id, w, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::double v from s join embeddings on vec_id = k),
   m as (select user_id, i, sum(v * w) filter (where w > 0) / sum(w) filter (where w > 0) p, sum(v * -w) filter (where w < 0) / sum(-w) filter (where w < 0) n from x group by 1, 2)
-  select user_id, i, round(p - 0.4 * coalesce(n, 0), 6) x from m where p is not null""")
+  select user_id, i, round(greatest(0, least(1, p - 0.4 * coalesce(n, 0))), 3)::double x from m where p is not null and greatest(0, least(1, p - 0.4 * coalesce(n, 0))) > 0""")
 def taste_centroid(spark, d):
     c = taste.centroids(taste.signals(table(spark, d, "events")), table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), "embedding"), "embedding")
-    return c.select("user_id", F.posexplode("centroid").alias("i", "x")).select("user_id", "i", F.round("x", 6).alias("x"))
+    return c.select("user_id", F.posexplode("centroid").alias("i", "x")).where("x > 0").select("user_id", "i", F.round("x", 3).alias("x"))
 
 
 @query("rank_catalog", f"""with s as ({_SIGNALS}), x as (select user_id, w, generate_subscripts(embedding, 1) i, unnest(embedding)::double v from s join embeddings on vec_id = k),
   m as (select user_id, i, sum(v * w) filter (where w > 0) / sum(w) filter (where w > 0) p, sum(v * -w) filter (where w < 0) / sum(-w) filter (where w < 0) n from x group by 1, 2),
-  c as (select user_id, list(p - 0.4 * coalesce(n, 0) order by i) c from m where p is not null group by 1),
+  c as (select user_id, list(greatest(0, least(1, p - 0.4 * coalesce(n, 0))) order by i) c from m where p is not null group by 1 having max(p - 0.4 * coalesce(n, 0)) > 0),
   r as (select c.user_id, e.vec_id, round(greatest(0, least(1, 0.5 + 0.5 * ({_COS.format('c.c', 'e.embedding::double[]')}))), 9) sc from c, embeddings e where not exists (select 1 from s where s.user_id = c.user_id and s.k = e.vec_id)),
   t as (select *, row_number() over (partition by user_id order by sc desc, vec_id) rank from r) select user_id, rank, vec_id, round(sc, 6) score from t where rank <= 10""")
 def rank_catalog(spark, d):

@@ -46,13 +46,13 @@ def src_optional_sample(spark, d):
     return table(spark, d, "nation").join(s, "n_nationkey", "left").groupBy("n_nationkey").agg(F.min("s_name").alias("some_supplier"))
 
 
-@query("er_duplicate_merges", f"""with p as (select p.id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(p.name), '[^a-z]+'), lambda w: w <> ''))), ' ') w, regexp_replace(p.name, '[^0-9]', '', 'g') dg, lower(b.name) brand
-   from ({PRODUCTS}) p left join (select id, name from gold where entity_type = 'brand') b on p.brand_id = b.id where p.name is not null and regexp_matches(p.name, '^[A-Za-z0-9 .]*$')),
+@query("er_duplicate_merges", f"""with p as (select p.id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(replace(replace(replace(replace(lower(strip_accents(p.name)), '''', ''), '’', ''), '‘', ''), '`', ''), '[^a-z]+'), lambda w: w <> ''))), ' ') w, regexp_replace(p.name, '[^0-9]', '', 'g') dg, lower(b.name) brand
+   from ({PRODUCTS}) p left join (select id, name from gold where entity_type = 'brand') b on p.brand_id = b.id where p.name is not null),
   k as (select w, dg, min(brand) lo, max(brand) hi from p where w <> '' group by 1, 2), q as (select id, w, dg, coalesce(brand, case when lo = hi then lo end) ky from p join k using (w, dg)),
   c as (select w, dg, ky, min(id) canonical from q where ky is not null group by 1, 2, 3 having count(*) > 1) select id, canonical from q join c using (w, dg, ky) where id <> canonical""")
 def er_duplicate_merges(spark, d):
     b = entities(spark, d, "brand").select(F.col("id").alias("brand_id"), F.col("name").alias("brand"))
-    p = products(spark, d).where(F.col("name").rlike("^[A-Za-z0-9 .]*$")).join(b, "brand_id", "left").select("id", "name", "brand")
+    p = products(spark, d).where("name is not null").join(b, "brand_id", "left").select("id", "name", "brand")
     return curation.duplicate_merges(p)
 
 
@@ -70,17 +70,13 @@ def er_fact_reasons(spark, d):
     return g.select("k", curation.hold_reason(F.col("a"), F.col("s"), F.col("m")).alias("reason"))
 
 
-@query("er_open_data_fill", "select lower(fanciful_name) key, round(avg(abv), 1) as value, count(distinct permit_no) sources from ttb_cola_sample where fanciful_name is not null and abv between 0.1 and 95 group by 1 having max(abv) - min(abv) <= 0.5 and round(avg(abv) * 10, 6) % 1 <> 0.5")
-def er_open_data_fill(spark, d):
-    f = table(spark, d, "ttb_cola_sample").where(F.col("abv").between(0.1, 95) & ~F.isnan("abv"))
-    a = curation.agreed_values(f.select(F.lower("fanciful_name").alias("key"), F.col("abv").alias("value"), F.col("permit_no").alias("source")), 0.5)
-    means = f.groupBy(F.lower("fanciful_name").alias("key")).agg(F.avg("abv").alias("m")).where(F.round(F.col("m") * 10, 6) % 1 != 0.5).select("key")
-    return a.join(means, "key", "left_semi")
+_AGREED = """with g as (select lower(fanciful_name) key, sum(round(abv * 1000000)::bigint) s, count(*) n, count(distinct permit_no) sources from ttb_cola_sample where fanciful_name is not null and abv between 0.1 and 95 group by 1 having max(abv) - min(abv) <= 0.5)
+  select key, ((2 * s + 100000 * n) // (200000 * n))::double / 10 as value, sources from g"""
 
 
-@query("er_open_data_values", """with g as (select lower(fanciful_name) key, sum(round(abv * 1000000)::bigint) s, count(*) n, count(distinct permit_no) sources from ttb_cola_sample where fanciful_name is not null and abv between 0.1 and 95 group by 1 having max(abv) - min(abv) <= 0.5)
-  select key, ((2 * s + 100000 * n) // (200000 * n))::double / 10 as value, sources from g""")
-def er_open_data_values(spark, d):
+@query("er_open_data_values", _AGREED)
+@query("er_open_data_fill", _AGREED)
+def er_open_data_fill(spark, d):
     f = table(spark, d, "ttb_cola_sample").where(F.col("abv").between(0.1, 95) & ~F.isnan("abv"))
     return curation.agreed_values(f.select(F.lower("fanciful_name").alias("key"), F.col("abv").alias("value"), F.col("permit_no").alias("source")), 0.5)
 
@@ -134,8 +130,9 @@ def fn_profile_prompt(spark, d):
     return products(spark, d).select("id", F.concat_ws("\n", "name", "category", "style").alias("prompt"))
 
 
-@query("str_text_clusters", """with b as (select o_custkey f, o_orderkey pos, o_totalprice % 1 x, (o_orderkey % 97) / 100.0::double y from orders), l as (select *, lag(x) over o px, lag(y) over o py from b window o as (partition by f order by y, x, pos)),
-  s as (select *, case when greatest(0, least(x + 0.3::double, px + 0.3::double) - greatest(x, px)) / 0.3::double >= 0.3::double and y - (py + 0.02::double) <= 0.04::double then 0 else 1 end s from l) select f frame_id, pos, sum(s) over (partition by f order by y, x, pos)::bigint cluster from s""")
+@query("str_text_clusters", """with recursive b as (select o_custkey f, o_orderkey pos, o_totalprice % 1 x, (o_orderkey % 97) / 100.0::double y from orders),
+  e as (select a.f, a.pos u, b.pos v from b a join b on a.f = b.f and a.pos <> b.pos where (least(a.x + 0.3::double, b.x + 0.3::double) - greatest(a.x, b.x)) / 0.3::double >= 0.3::double and greatest(0, greatest(a.y, b.y) - least(a.y + 0.02::double, b.y + 0.02::double)) <= 0.04::double),
+  r as (select f, pos u, pos v from b union select r.f, r.u, e.v from r join e on r.f = e.f and r.v = e.u) select f frame_id, u pos, min(v) as cluster from r group by 1, 2""")
 def str_text_clusters(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("frame_id"), F.col("o_orderkey").alias("pos"), (F.col("o_totalprice") % 1).alias("x"), ((F.col("o_orderkey") % 97) / 100.0).alias("y"), F.lit(0.3).alias("w"), F.lit(0.02).alias("h"))
     return curation.text_clusters(o)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellarium.functions import text as T
 from cellarium.functions import vectors as V
+from cellarium.operators import curation, filters, identity
 from cellarium.plans.registry import query
 from cellarium.session import table
 
@@ -74,26 +75,26 @@ def flt_degenerate_brand(spark, d):
     return table(spark, d, "ttb_cola_sample").where((F.length(F.regexp_replace(F.lower(b), "[^a-z0-9]+", "")) >= 3) & ~F.lower(b).isin("llc", "inc", "company")).select("brand_name").distinct()
 
 
-@query("flt_permit_kind", "select row_id, split_part(permit_no, '-', 2) state, regexp_matches(permit_no, '^DSP-') distiller from ttb_cola_sample where permit_no is not null and split_part(permit_no, '-', 2) <> ''")
+@query("flt_permit_kind", """select row_id, split_part(p, '-', 2) kind, split_part(p, '-', 2) = 'i' or regexp_matches(p, '^i-[0-9]') importer from (select row_id, lower(regexp_replace(permit_no, '[^A-Za-z0-9]+', '-', 'g')) p from ttb_cola_sample where permit_no is not null)""")
 def flt_permit_kind(spark, d):
-    p = F.col("permit_no")
-    return table(spark, d, "ttb_cola_sample").where(p.isNotNull()).select("row_id", F.split_part(p, F.lit("-"), F.lit(2)).alias("state"), p.rlike("^DSP-").alias("distiller")).where("state <> ''")
+    p = F.lower(F.regexp_replace("permit_no", "[^A-Za-z0-9]+", "-"))
+    f = table(spark, d, "ttb_cola_sample").where("permit_no is not null").select("row_id", p.alias("p"))
+    return f.select("row_id", F.split_part("p", F.lit("-"), F.lit(2)).alias("kind"), filters.importer_permit(F.col("p")).alias("importer"))
 
 
-BANDS = [("beer", 0.0, 16.0), ("wine", 5.0, 25.0), ("cider", 1.0, 12.0), ("mead", 3.0, 25.0), ("sake", 8.0, 25.0), ("spirit", 15.0, 80.0), ("rtd", 2.0, 40.0)]
-
-
-@query("flt_plausible_abv", "select row_id, product.abv abv from demo_products join (values " + ", ".join(f"('{c}', {a}, {b})" for c, a, b in BANDS) + ") v(c, lo, hi) on product.category = c where product.abv between lo and hi")
+@query("flt_plausible_abv", """select row_id, product.abv abv from demo_products where case when regexp_matches(coalesce(lower(product.name), ''), '0,0|0\\.0|alcohol free|alcohol-free|alkoholfrei|sans alcool|non alcoholic|non-alcoholic|sin alcohol|analcolico|0 %|0%|alkoholfri|cero|tostada 0') then product.abv between 0 and 1.2
+    when product.category = 'beer' then product.abv between 0.5 and 30 when product.category = 'cider' then product.abv between 1 and 15 when product.category = 'wine' then product.abv between 4 and 24 when product.category = 'sake' then product.abv between 4 and 25
+    when product.category = 'mead' then product.abv between 3 and 25 when product.category = 'rtd' then product.abv between 1 and 25 when product.category = 'spirit' then product.abv between 10 and 96 else product.abv between 0.3 and 96 end and not isnan(product.abv)""")
 def flt_plausible_abv(spark, d):
-    bands = F.broadcast(spark.createDataFrame(BANDS, "c string, lo double, hi double"))
-    p = table(spark, d, "demo_products").select("row_id", F.col("product.abv").alias("abv"), F.col("product.category").alias("c"))
-    return p.join(bands, "c").where(F.col("abv").between(F.col("lo"), F.col("hi"))).select("row_id", "abv")
+    p = table(spark, d, "demo_products").select("row_id", F.col("product.abv").alias("abv"), F.col("product.category").alias("c"), F.col("product.name").alias("n"))
+    return p.where(filters.plausible_strength(F.col("abv"), F.col("c"), F.col("n"))).select("row_id", "abv")
 
 
-@query("flt_replaceable_fact", "select id, json_extract_string(record, '$.spec.abv_pct.provenance.method') m from gold where entity_type = 'product' and (json_extract_string(record, '$.spec.abv_pct.provenance.method') is null or json_extract_string(record, '$.spec.abv_pct.provenance.method') in ('llm_recalled', 'user_contributed'))")
+@query("flt_replaceable_fact", """select id, case when v is null then 'empty' else m end was from (select id, json_extract_string(record, '$.spec.abv_pct.value') v, json_extract_string(record, '$.spec.abv_pct.provenance.method') m from gold where entity_type = 'product')
+  where v is null or m in ('llm_inferred_from_style_prior', 'llm_recalled', 'community_clone', 'review_consensus')""")
 def flt_replaceable_fact(spark, d):
-    m = F.get_json_object("record", "$.spec.abv_pct.provenance.method")
-    return entities(spark, d, "product").select("id", m.alias("m")).where(F.col("m").isNull() | F.col("m").isin("llm_recalled", "user_contributed"))
+    j = lambda c: F.get_json_object("record", f"$.spec.abv_pct.{c}")
+    return entities(spark, d, "product").select("id", filters.replaceable_by_drinkers(j("value"), j("provenance.method")).alias("was")).where("was is not null")
 
 
 @query("flt_consent", "select event_id, user_id from events where event_type in ('purchase', 'view') and json_extract_string(props, '$.k') is not null")
@@ -146,14 +147,17 @@ def join_posting_intersection(spark, d):
     return t.join(q, "w").groupBy("row_id").count().where("count = 2").select("row_id")
 
 
-@query("join_subset_tokens", """with b as (select distinct id, string_split(lower(name), ' ') t from gold where entity_type = 'brand' and name is not null and lower(name) not like '%  %'),
-  p as (select id, string_split(lower(name), ' ') t from gold where entity_type = 'product' and name is not null)
-  select p.id product_id, b.id brand_id from p join b on p.t[1] = b.t[1] where len(list_filter(b.t, lambda x: not list_contains(p.t, x))) = 0""")
+@query("join_subset_tokens", """with b as (select distinct id, list_distinct(list_filter(string_split(lower(name), ' '), lambda w: w <> '')) t from gold where entity_type = 'brand' and name is not null),
+  p as (select id, list_distinct(list_filter(string_split(lower(name), ' '), lambda w: w <> '')) t from gold where entity_type = 'product' and name is not null), x as (select id, unnest(t) w, len(t) n from b), y as (select id, unnest(t) w from p)
+  select y.id product_id, x.id brand_id from x join y using (w) group by 1, 2, n having count(*) = n""")
 def join_subset_tokens(spark, d):
-    split = lambda c: F.split(F.lower(c), " ")
-    b = entities(spark, d, "brand").where("name is not null and lower(name) not like '%  %'").select(F.col("id").alias("brand_id"), split("name").alias("bt")).distinct()
-    p = entities(spark, d, "product").where("name is not null").select(F.col("id").alias("product_id"), split("name").alias("pt"))
-    return p.join(b, F.col("pt")[0] == F.col("bt")[0]).where(F.size(F.array_except("bt", "pt")) == 0).select("product_id", "brand_id")
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: w != ""))
+    b = entities(spark, d, "brand").where("name is not null").select(F.col("id").alias("brand_id"), words("name").alias("bt")).distinct()
+    p = entities(spark, d, "product").where("name is not null").select(F.col("id").alias("product_id"), words("name").alias("pt"))
+    # A name that holds all words of a brand holds its rarest, so only that one is joined on.
+    rarest = identity.rarest_word(b, "brand_id", "bt")
+    met = p.select("product_id", "pt", F.explode("pt").alias("word")).join(rarest, "word")
+    return met.where(F.size(F.array_except("bt", "pt")) == 0).select("product_id", "brand_id")
 
 
 @query("join_semi_in", "select l_orderkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_size > 45)")
@@ -281,18 +285,19 @@ def agg_category_vote(spark, d):
     return top.groupBy("permit_no").agg(F.when(F.count("*") == 1, F.min("class_type")).alias("class_type"))
 
 
-@query("agg_agreement", "with l as (select user_id, json_extract_string(props, '$.k')::int k, max_by(value, event_id) v from events where event_type = 'purchase' and value is not null group by 1, 2) select k, count(*) accounts, round(avg(v), 1) v from l group by 1 having count(*) >= 2 and max(v) - min(v) <= 50")
+@query("agg_agreement", """with l as (select lower(fanciful_name) k, permit_no, arg_max(abv, row(fetched_at, row_id)) v from ttb_cola_sample where fanciful_name is not null and permit_no is not null and abv > 0 and abv <= 95 group by 1, 2),
+  g as (select k, count(*) accounts, sum(round(v * 1000000)::bigint) s, max(v) - min(v) r from l group by 1) select k, accounts, ((2 * s + 100000 * accounts) // (200000 * accounts))::double / 10 v from g where accounts >= 2 and r <= 0.2""")
 def agg_agreement(spark, d):
-    e = table(spark, d, "events").where("event_type = 'purchase' and value is not null")
-    latest = e.groupBy("user_id", F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.max_by("value", "event_id").alias("v"))
-    return latest.groupBy("k").agg(F.count("*").alias("accounts"), F.round(F.avg("v"), 1).alias("v"), (F.max("v") - F.min("v")).alias("spread")).where("accounts >= 2 and spread <= 50").drop("spread")
+    f = table(spark, d, "ttb_cola_sample").where("fanciful_name is not null and permit_no is not null and abv > 0 and abv <= 95")
+    latest = f.groupBy(F.lower("fanciful_name").alias("key"), F.col("permit_no").alias("source")).agg(F.max_by("abv", F.struct("fetched_at", "row_id")).alias("value"))
+    return curation.agreed_values(latest, 0.2).where("sources >= 2").select(F.col("key").alias("k"), F.col("sources").alias("accounts"), F.col("value").alias("v"))
 
 
-@query("agg_best_spelling", "select lower(brand_name) brand, max_by(brand_name, n * 1000 + length(brand_name) - ascii(brand_name[1]) / 1000.0 - ascii(brand_name[2]) / 1000000.0) spelling from (select brand_name, count(*) n from ttb_cola_sample where brand_name is not null and lower(brand_name) in (select lower(brand_name) from ttb_cola_sample group by 1 having count(distinct brand_name) = 1) group by 1) group by 1")
+@query("agg_best_spelling", """with n as (select brand_name, count(distinct permit_no) a, len(list_filter(string_split_regex(trim(brand_name), '\\s+'), lambda w: length(w) >= 4)) w from ttb_cola_sample where brand_name is not null group by 1)
+  select lower(brand_name) brand, arg_min(brand_name, row(-a, -w, -length(brand_name), brand_name)) spelling from n group by 1""")
 def agg_best_spelling(spark, d):
-    n = table(spark, d, "ttb_cola_sample").where("brand_name is not null").groupBy("brand_name").agg(F.count("*").alias("n"))
-    best = n.groupBy(F.lower("brand_name").alias("brand")).agg(F.min(F.struct((-F.col("n")).alias("a"), (-F.length("brand_name")).alias("b"), "brand_name")).alias("m"), F.count("*").alias("k"))
-    return best.where("k = 1").select("brand", F.col("m.brand_name").alias("spelling"))
+    f = table(spark, d, "ttb_cola_sample").select(F.lower("brand_name").alias("brand"), F.col("brand_name").alias("name"), F.col("permit_no").alias("account"))
+    return curation.best_spelling(f, "brand").select("brand", F.col("name").alias("spelling"))
 
 
 @query("agg_freshness", "select max(updated_at) stamp, count(*) n from gold")
@@ -347,11 +352,11 @@ def win_cap_per_group(spark, d):
     return table(spark, d, "part").withColumn("k", k).where("k <= 1").orderBy(F.desc("p_retailprice"), "p_partkey").limit(6).select("p_partkey")
 
 
-@query("win_session_gap", "select user_id, count(*) sightings from (select user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) p from events where event_type = 'view') where p is null or ts - p > interval 15 minute group by 1")
+@query("win_session_gap", "select user_id, count(*) sightings from (select user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) p from events where event_type = 'view') where p is null or ts - p > interval 15 second group by 1")
 def win_session_gap(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     v = table(spark, d, "events").where("event_type = 'view'").withColumn("p", F.lag("ts").over(w))
-    return v.where("p is null or ts - p > interval 15 minutes").groupBy("user_id").agg(F.count("*").alias("sightings"))
+    return v.where("p is null or ts - p > interval 15 seconds").groupBy("user_id").agg(F.count("*").alias("sightings"))
 
 
 @query("top_total_order", "select p_partkey, p_name from part order by p_retailprice desc, length(p_name), p_partkey limit 25")

@@ -87,7 +87,17 @@ def test_damaged_export(spark, tmp_path):
     got = {r["ttb_id"]: r for r in pages.read_exports(spark, str(tmp_path)).collect()}
     assert set(got) == {"21088900000001", "21088900000002", "21088900000003"}
     assert got["21088900000002"]["fanciful_name"] == "Capon, Tobala" and got["21088900000002"]["class_type"] == "Anisette, Ouzo"
-    assert got["21088900000003"]["serial"] == "21,142" and got["21088900000003"]["brand_name"] == "House"
+    assert got["21088900000003"]["serial"] == "21,142" and got["21088900000003"]["brand_name"] == "House" and got["21088900000003"]["fanciful_name"] == "Elm Line"
+    assert got["21088900000001"]["serial"] == "21,142" and got["21088900000001"]["permit_no"] == "BR-1"
+
+
+def test_export_ids_of_eight_to_twenty_digits_start_records(spark, tmp_path):
+    row = ',BR-1,1,03/29/2021,"Oak, Old",House,01,X,901,Ale'
+    ids = ["12345678", "1234567890", "12345678901234567890"]
+    (tmp_path / "a.csv").write_text("head\n" + "\n".join([*(i + row for i in ids), ""]) + "\n")
+    (tmp_path / "b.csv").write_text("")
+    got = {r["ttb_id"]: r["fanciful_name"] for r in pages.read_exports(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(ids, "Oak, Old")
 
 
 def test_pages_and_logs(spark, tmp_path):
@@ -103,7 +113,13 @@ def test_fuzzy_tokens(spark):
     q = spark.createDataFrame([("harbr",), ("harbor",), ("harbo",), ("zzzzz",)], "q string")
     w = spark.createDataFrame([("harbor",), ("harborside",)], "w string")
     got = {(r["q"], r["w"]): r["weight"] for r in retrieval.token_lookup(q, w).collect()}
-    assert got == {("harbr", "harbor"): 0.7, ("harbor", "harbor"): 1.0, ("harbor", "harborside"): 0.6, ("harbo", "harbor"): 0.7, ("harbo", "harborside"): 0.6}
+    assert got.pop(("harbor", "harborside")) == 0.6 and got.pop(("harbo", "harborside")) == 0.6
+    long = "y" * 40 + "oak" + "z" * 40
+    far = spark.createDataFrame([(long,), ("x" + long,), (long[:-1],)], "q string")
+    assert retrieval.token_lookup(far, spark.createDataFrame([(long,)], "w string")).count() == 3
+    ends = retrieval.token_lookup(spark.createDataFrame([("undersea",)], "q string"), spark.createDataFrame([("dersea",)], "w string"))
+    assert [r["weight"] for r in ends.collect()] == [0.6]
+    assert got == {("harbr", "harbor"): 0.7, ("harbor", "harbor"): 1.0, ("harbo", "harbor"): 0.7}
 
 
 def test_frames(spark):
@@ -111,10 +127,41 @@ def test_frames(spark):
     f = spark.createDataFrame([(1, 0, "RUSTY HARBOR"), (1, 1, "12%"), (2, 0, "nothing known"), (3, 0, None), (None, 0, "Rusty Harbor")], "frame_id long, pos int, text string")
     got = frames.resolve_frames(f, names).collect()
     assert [(r["frame_id"], r["id"], r["verdict"]) for r in got] == [(1, "n1", "resolved")]
-    assert frames.extent_similarity("high life", "miller brewed high life") == 1.0
+    grams = lambda t: frames.word_grams(F.lit(t))
+    assert one(spark, frames.extent_similarity(grams("high life"), grams("miller brewed high life"))) == 1.0
+    assert one(spark, frames.extent_similarity(grams("high life"), grams(""))) == 0.0
+    assert one(spark, frames.match_score([grams("Elm"), grams("Elm Mill")], grams("ELM MILL ALE"))) == 1.0
     assert frames.echoes(["Rusty Harbor Ale", "Rusty Harbor", "Elm"]) == [0, 0, 2]
 
 
+def test_lines_find_the_same_names_by_their_rarest_word_as_by_all(spark):
+    names = [(f"n{i:03d}", f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in ("oak", "elm", "ash", "fir", "yew") for b in ("mill", "barn", "barn mill", "hill house mill"))] + [("x", None), ("y", "mill mill"), ("z", "")]
+    lines = [(i, t) for i, t in enumerate(["Oak Mill", "OAK barn mill", "mill", "nothing known", "hill mill barn", None, "", "oak mill", "elm hill house", "yew"])]
+    n, q = spark.createDataFrame(names, "id string, name string"), spark.createDataFrame(lines, "qid int, text string")
+    split = lambda t: {w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split() if len(w) >= 3}
+    import math
+
+    total = sum(name is not None for _, name in names)
+    df = {w: sum(w in split(name) for _, name in names) for w in {w for _, name in names for w in split(name)}}
+    want = set()
+    for i, t in lines:
+        hits = [(-round(sum(math.log1p(total / df[w]) for w in split(t) & split(name)), 6), k) for k, name in names if split(t) & split(name)]
+        want |= {(i, k, -e) for e, k in sorted(hits)[:3]}
+    assert {tuple(r) for r in retrieval.match_lines(q, n, 3).select("qid", "id", "evidence").collect()} == want
+    garbled = retrieval.find_candidates(spark.createDataFrame([(1, "hous barm")], "qid int, text string"), n)
+    assert garbled.count() == 0 and retrieval.find_candidates(q, n.limit(0)).count() == 0
+
+
+def test_boxes_of_a_frame_are_joined_through_others(spark):
+    from cellarium.operators import curation
+
+    # Two columns side by side, each of three lines; a line far below; a frame of its own.
+    rows = [(1, i * 2 + c, c * 0.5, 0.05 * i, 0.3, 0.03) for i in range(3) for c in range(2)] + [(1, 9, 0.0, 0.9, 0.3, 0.03), (2, 0, 0.0, 0.0, 0.3, 0.03), (None, 1, 0.0, 0.0, 0.1, 0.1), (3, 1, None, 0.0, 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "frame_id long, pos long, x double, y double, w double, h double")
+    got = {(r["frame_id"], r["pos"]): r["cluster"] for r in curation.text_clusters(df).collect()}
+    assert got == {(1, p): p % 2 for p in range(6)} | {(1, 9): 9, (2, 0): 0}
+
+
 def test_tracker_smooths_ends_and_forgets():
     t = tracker.advance({}, 0.0, [((0.1, 0.1, 0.2, 0.2), ["oak"])])
     t = tracker.advance(t, 1.0, [((0.12, 0.1, 0.2, 0.2), ["ale"]), ((0.7, 0.7, 0.1, 0.1), [])])

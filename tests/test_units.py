@@ -8,7 +8,7 @@ from cellarium.operators import units
 
 CASES = {
     "750 ML": 750, "0,75 l": 750, "1,000 ML": 1000, "O.33L": 330, "25OML": 250, "1 PINT 6 OZ": 651, "1 PT .9 FL. OZ. (500 ML)": 500, "24 FL OZ - 710 ML": 710, "1/6 BBL": 19558, "1 1/2 pt": 710, "HALF GALLON": 1893,
-    "SEVEN HUNDRED FIFTY MILLILITERS": 750, "twenty-two fl. oz.": 651, "12 x .33 LITER": 330, "12 BOTTLES OF 355 M.L.": 355, "8-pack, 375ML each": 375, "200 ml (24 PACK)": 200, "1 PINT (IMP.)": 568, "20 IMP FL OZ": 568, "18.75 cl": 188,
+    "SEVEN HUNDRED FIFTY MILLILITERS": 750, "twenty-two fl. oz.": 651, "12 x .33 LITER": 330, "12 BOTTLES OF 355 M.L.": 355, "8-pack, 375ML each": 375, "200 ml (24 PACK)": 200, "1 PINT (IMP.)": 568, "20 IMP FL OZ": 568, "18.75 cl": 188, "1 gal 2 qt 1 pt 6 fl oz": 6329, "1 PINT 473 ML": 473,
     "SEE LABEL": None, "": None, " ": None, None: None, "0 ml": None, "12": None, "1/0 gal": None, "9" * 4000: None, "x" * 50000 + " 5 cl": 50,
 }
 
