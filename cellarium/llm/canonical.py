@@ -16,21 +16,16 @@ from cellarium.functions.stated import says_nothing
 from cellarium.functions.text import deletions, unaccent
 
 BROADCAST_ENTRIES = 20_000
-#: Least soft TF-IDF cosine of a match.
-ACCEPT = 0.55
+#: Least soft TF-IDF cosine of a match, and most edits of a word.
+ACCEPT, MOST_EDITS = 0.55, 3
 
-# What may stand around a value without being part of it.
-_AROUND = r"(?i)^\s*\d+\s*-\s+|^\s*class:\s*|\s+type\s*$|\s*\*\s*$|\s*-\s*imported\s*$|\s*\(domestic\)\s*$|\s*/\s*other origin\s*$"
-# Customary short forms and spellings of words in such lists.
-SHORT_FORMS = {
-    "wn": "wine", "wns": "wine", "bbl": "barrel", "bev": "beverage", "bevg": "beverage", "whiskey": "whisky", "whiskeys": "whisky", "wsky": "whisky", "whsky": "whisky", "cyder": "cider", "teq": "tequila", "liq": "liqueur", "stt": "stout", "flvd": "flavored", "flav": "flavored",
-    "blnd": "blended", "vdka": "vodka", "brndy": "brandy", "imp": "imperial", "imprl": "imperial", "am": "american", "amer": "american", "spec": "specialty", "mlt": "malt", "pils": "pilsner", "pl": "pale", "sgl": "single", "dbl": "double", "carb": "carbonated", "prep": "prepared", "str": "straight", "mezc": "mezcal", "brl": "barrel", "strt": "straight", "mtl": "malt", "bbrn": "bourbon",
-}
+# What may stand around a value of this trade without being part of it; an input that a caller may replace or leave out.
+AROUND = r"(?i)^\s*\d+\s*-\s+|^\s*class:\s*|\s+type\s*$|\s*\*\s*$|\s*-\s*imported\s*$|\s*\(domestic\)\s*$|\s*/\s*other origin\s*$"
 
 
-def value_tokens(value: Column) -> Column:
+def value_tokens(value: Column, around: str | None = AROUND) -> Column:
     """Lower-case words of a value without decoration, accents, the digit 0 for o, or run-together case."""
-    v = F.regexp_replace(F.regexp_replace(value, _AROUND, ""), _AROUND, "")
+    v = F.regexp_replace(F.regexp_replace(value, around, ""), around, "") if around else value
     inverted = v.rlike(r"(^|[^\p{L}])\p{Ll}\p{Lu}")
     v = F.when(inverted, F.regexp_replace(v, r"(?<=\p{Lu})(?=\p{Ll})", " ")).otherwise(F.regexp_replace(v, r"(?<=\p{Ll})(?=\p{Lu})", " "))
     v = F.translate(unaccent(F.lower(v)), "0", "o")
@@ -48,13 +43,14 @@ def token_keys(word: Column, short: bool = True) -> Column:
 
     ``short`` is False for the vocabulary, whose words can all have short forms.
     """
-    one = deletions(word)
-    two = F.when(F.length(word).between(5, 40), F.flatten(F.transform(one, deletions))).otherwise(F.array().cast("array<string>"))
-    start = F.when(F.length(word) >= 3, F.array(F.concat(F.lit("^"), F.substring(word, 1, 3)))).otherwise(F.array().cast("array<string>"))
-    bones = F.when(F.length(word) <= 64, F.array(F.concat(F.lit("~"), F.substring(word, 1, 1), F.regexp_replace(F.substring(word, F.lit(2), F.length(word)), "[aeiouy]", "")))).otherwise(F.array().cast("array<string>"))
-    first = F.when(F.length(word) <= 5, F.array(F.concat(F.lit("!"), F.substring(word, 1, 1)))).otherwise(F.array().cast("array<string>"))
-    letters = F.when(F.length(word).between(5, 64), F.array(F.concat(F.lit("@"), F.array_join(F.array_sort(F.split(word, "")), "")))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(first if short else word_first(word), letters, F.array(word), F.when(F.length(word) > 2, one).otherwise(F.array().cast("array<string>")), two, start, bones))
+    none = F.array().cast("array<string>")
+    one = deletions(word, None)
+    two = F.when(F.length(word) >= 5, F.flatten(F.transform(one, lambda w: deletions(w, None)))).otherwise(none)
+    start = F.when(F.length(word) >= 3, F.array(F.concat(F.lit("^"), F.substring(word, 1, 3)))).otherwise(none)
+    bones = F.array(F.concat(F.lit("~"), F.substring(word, 1, 1), F.regexp_replace(F.substring(word, F.lit(2), F.length(word)), "[aeiouy]", "")))
+    first = F.when(F.length(word) <= 5, F.array(F.concat(F.lit("!"), F.substring(word, 1, 1)))).otherwise(none)
+    letters = F.when(F.length(word) >= 5, F.array(F.concat(F.lit("@"), F.array_join(F.array_sort(F.split(word, "")), "")))).otherwise(none)
+    return F.array_distinct(F.concat(first if short else word_first(word), letters, F.array(word), F.when(F.length(word) > 2, one).otherwise(none), two, start, bones))
 
 
 def token_similarity(token: Column, word: Column, words: Column) -> Column:
@@ -64,7 +60,7 @@ def token_similarity(token: Column, word: Column, words: Column) -> Column:
     typed nearly whole.
     """
     t, w = F.length(token), F.length(word)
-    allowed = F.when(w <= 4, 1).when(w <= 7, 2).otherwise(3)
+    allowed = F.when(w <= 4, 1).when(w <= 7, 2).otherwise(MOST_EDITS)
     d = F.least(F.levenshtein(token, word), F.levenshtein(token, F.concat(word, F.lit("s"))))
     swap = (t == w) & (t >= 3) & (F.array_sort(F.split(token, "")) == F.array_sort(F.split(word, "")))
     edit = F.when((d <= allowed) | swap, 1 - 0.7 * F.when(swap, 1).otherwise(d) / F.greatest(t, w))
@@ -103,11 +99,18 @@ def vocabulary(entries: DataFrame) -> DataFrame:
     return single.unionByName(joined).groupBy("list_name", "word").agg(F.min("parts").alias("parts"))
 
 
-def repair_tokens(tokens: DataFrame, vocab: DataFrame, small: bool) -> DataFrame:
-    """``list_name, token, parts, sim``: the vocabulary words a distinct token may stand for."""
+def repair_tokens(tokens: DataFrame, vocab: DataFrame, small: bool, short_forms: dict[str, str] | None = None) -> DataFrame:
+    """``list_name, token, parts, sim``: the vocabulary words a distinct token may stand for.
+
+    A token that is longer than every word by more than the edits allowed can stand for none.
+    """
     hint = F.broadcast if small else (lambda x: x)
-    forms = F.create_map(*[F.lit(x) for kv in SHORT_FORMS.items() for x in kv])
-    plain = tokens.withColumn("typed", F.coalesce(forms[F.col("token")], F.when(F.col("token").endswith("s"), forms[F.expr("left(token, length(token) - 1)")]), F.col("token")))
+    plain = tokens.withColumn("typed", F.col("token"))
+    if short_forms:
+        forms = F.create_map(*[F.lit(x) for kv in short_forms.items() for x in kv])
+        plain = tokens.withColumn("typed", F.coalesce(forms[F.col("token")], F.when(F.col("token").endswith("s"), forms[F.expr("left(token, length(token) - 1)")]), F.col("token")))
+    longest = vocab.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).scalar()
+    plain = plain.where(F.length("typed") <= longest + MOST_EDITS + 1)
     keyed = plain.select("list_name", "token", "typed", F.explode(token_keys(F.col("typed"))).alias("key"))
     words = vocab.select("list_name", "word", "parts", F.explode(token_keys(F.col("word"), short=False)).alias("key"))
     pairs = keyed.join(hint(words), ["list_name", "key"]).select("list_name", "token", "typed", "word", "parts").distinct()
@@ -115,18 +118,20 @@ def repair_tokens(tokens: DataFrame, vocab: DataFrame, small: bool) -> DataFrame
     return scored.groupBy("list_name", "token", "parts").agg(F.max("sim").alias("sim"))
 
 
-def match_values(values: DataFrame, entries: DataFrame, accept: float = ACCEPT) -> DataFrame:
+def match_values(values: DataFrame, entries: DataFrame, accept: float = ACCEPT, short_forms: dict[str, str] | None = None, around: str | None = AROUND) -> DataFrame:
     """``list_name, value, entry_id, score`` for distinct ``(list_name, value)``; -1 where no entry is meant.
 
     Soft TF-IDF: every word of an entry takes the best repair the value offers for it; what the value
     says beyond that counts against the match with the weight of a rare word. Ties go to the smaller
     entry id. Null values give no row; a value without letters or without known words gives -1.
+    ``short_forms`` (of words) and ``around`` (what may surround a value) are what the caller knows of
+    how such values are written; both may be left out.
     """
     small = entries.count() <= BROADCAST_ENTRIES
     hint = F.broadcast if small else (lambda x: x)
-    spread = values.where("value is not null").select("list_name", "value", value_tokens(F.col("value")).alias("tokens"))
+    spread = values.where("value is not null").select("list_name", "value", value_tokens(F.col("value"), around).alias("tokens"))
     each = spread.select("list_name", "value", F.explode(F.array_distinct("tokens")).alias("token"))
-    repairs = repair_tokens(each.select("list_name", "token").distinct(), vocabulary(entries), small)
+    repairs = repair_tokens(each.select("list_name", "token").distinct(), vocabulary(entries), small, short_forms)
     weights = entry_tokens(entries)
     rare = hint(weights.groupBy("list_name").agg(F.log1p(F.first("n").cast("double")).alias("rare")))
     # A token's own weight: that of the best word it may stand for, else that of a rare word; one or two stray letters weigh little.
@@ -156,9 +161,9 @@ def typed_values(filings: DataFrame, demo: DataFrame) -> DataFrame:
     return a.unionByName(b).where(~says_nothing(F.col("value")))
 
 
-def map_typed_values(filings: DataFrame, demo: DataFrame, entries: DataFrame) -> DataFrame:
+def map_typed_values(filings: DataFrame, demo: DataFrame, entries: DataFrame, short_forms: dict[str, str] | None = None, around: str | None = AROUND) -> DataFrame:
     """``src, row_id, entry_id`` of the rows whose value is not letter for letter a label of its list."""
     labels = entries.select("list_name", F.col("label").alias("value")).distinct()
     rows = typed_values(filings, demo).join(F.broadcast(labels) if entries.count() <= BROADCAST_ENTRIES else labels, ["list_name", "value"], "left_anti")
-    found = match_values(rows.select("list_name", "value").distinct(), entries)
+    found = match_values(rows.select("list_name", "value").distinct(), entries, ACCEPT, short_forms, around)
     return rows.join(found, ["list_name", "value"]).select("src", "row_id", "entry_id")

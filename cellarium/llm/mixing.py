@@ -93,3 +93,18 @@ def share_report(selected: DataFrame, targets: DataFrame) -> DataFrame:
     r = t.join(per, ["mix_id", "source"], "left").fillna(0, ["tokens", "documents", "most_times"])
     total = F.sum("tokens").over(Window.partitionBy("mix_id"))
     return r.select("mix_id", "source", "target_share", F.round(F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)), 6).alias("reached_share"), "tokens", "documents", "most_times")
+
+
+def broken_rules(selected: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """``mix_id, source, wanted_share, near, repeated``: the share of each source among those that exist,
+    whether it was reached within two documents, and documents taken more often than allowed."""
+    have = sized.groupBy("source").agg(F.max("tokens").alias("longest"))
+    t = targets.where("mix_id is not null and source is not null and target_share > 0").groupBy("mix_id", "source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("most"))
+    t = t.join(have, "source", "left").withColumn("there", F.when(F.col("longest").isNotNull() & (F.col("most") > 0), F.col("share")).otherwise(0.0))
+    per = selected.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.max("times").alias("times"))
+    r = t.join(per, ["mix_id", "source"], "left").fillna(0, ["tokens", "times"])
+    mix = Window.partitionBy("mix_id")
+    r = r.withColumn("wanted", F.try_divide(F.col("there"), F.sum("there").over(mix))).withColumn("total", F.sum("tokens").over(mix))
+    off = F.abs(F.col("tokens") - F.col("wanted") * F.col("total"))
+    near = off <= 2 * F.max(F.coalesce("longest", F.lit(0)) * F.col("most")).over(mix)
+    return r.select("mix_id", "source", F.round(F.coalesce("wanted", F.lit(0.0)), 6).alias("wanted_share"), F.coalesce(near, F.lit(True)).alias("near"), F.greatest(F.col("times") - F.col("most"), F.lit(0)).cast("int").alias("repeated"))

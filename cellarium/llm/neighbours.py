@@ -31,10 +31,10 @@ from cellarium.session import materialise
 #: Vectors one classifier is fitted on, at most; chosen by hash, whatever the size of the collection.
 FIT_ROWS = 6_000
 #: Points one part should hold, parts that are learned on one level, and most classes of one classifier:
-#: parts keep their size up to the square of that many, some 2.6 * 10^8 points.
-PART_POINTS, ONE_LEVEL, MOST_CLASSES = 1_000, 64, 512
+#: parts keep their size up to the square of that many, some 5 * 10^8 points.
+PART_POINTS, ONE_LEVEL, MOST_CLASSES = 2_000, 32, 512
 #: Parts a query visits, and parts of the first level it may find them in.
-PROBES, FIRST_PROBES = 4, 3
+PROBES, FIRST_PROBES = 5, 4
 #: Points and queries of one block.
 BLOCK = 4_096
 QUERY_BLOCK = 8_192

@@ -11,6 +11,7 @@ every statistic in either distance is reported. The estimates are sums over all
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -31,6 +32,7 @@ COMMON = {
 _WORD, _SYMBOL = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?"), re.compile(r"[^\w\s.,;:!?'’\"()\-–—&]")
 _ENTITY = re.compile(r"&(?:[a-z]+|#\d+);")
 _SETS = {lang: frozenset(words) for lang, words in COMMON.items()}
+_SPEAKERS = {w: [lang for lang, words in _SETS.items() if w in words] for w in frozenset().union(*_SETS.values())}
 
 STATISTICS = ["mean_word_length", "symbol_ratio", "digit_ratio", "letter_ratio", "line_end_share", "words_per_line", "common_word_share", "prose_line_share", "log_new_triple_share", "new_line_share"]
 #: Directions in which a statistic moves away from prose: -1 below, 1 above, 0 either way.
@@ -48,29 +50,33 @@ def statistics(text: str) -> tuple[str, int, list[float]]:
     """Language by common words ("und" if none occurs), number of words, and the statistics."""
     text = _ENTITY.sub(" ", text)
     lines = [x for x in (line.strip() for line in text.splitlines()) if x]
-    by_line = [[w.lower() for w in _WORD.findall(line)] for line in lines]
+    by_line = [_WORD.findall(line.lower()) for line in lines]
     words = [w for line in by_line for w in line]
-    n, chars = len(words), sum(not c.isspace() for c in text)
-    share = {lang: sum(w in common for w in words) / max(n, 1) for lang, common in _SETS.items()}
-    lang = max(share, key=share.get)
-    common = _SETS[lang]
+    n, chars, letters = len(words), len("".join(text.split())), sum(map(len, words))
+    digits = sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdigit, text))
+    spoken = dict.fromkeys(_SETS, 0)
+    for w in words:
+        for lang in _SPEAKERS.get(w, ()):
+            spoken[lang] += 1
+    lang = max(spoken, key=spoken.get)
+    common, share = _SETS[lang], spoken[lang] / max(n, 1)
     # A line counts as prose if it has some words and about one in twelve is common; one that is part of a wrapped sentence may have none, so its neighbours vouch for it.
-    hits = [sum(w in common for w in line) for line in by_line]
-    prose = [len(line) >= 3 and sum(hits[max(0, i - 1) : i + 2]) * 12 >= sum(len(x) for x in by_line[max(0, i - 1) : i + 2]) and (hits[i] > 0 or len(line) >= 4) for i, line in enumerate(by_line)]
-    triples = list(zip(words, words[1:], words[2:]))
+    hits, sizes = [sum(map(common.__contains__, line)) for line in by_line], [len(line) for line in by_line]
+    prose = [size >= 3 and sum(hits[max(0, i - 1) : i + 2]) * 12 >= sum(sizes[max(0, i - 1) : i + 2]) and (hits[i] > 0 or size >= 4) for i, size in enumerate(sizes)]
+    triples = max(n - 2, 0)
     values = [
-        sum(map(len, words)) / max(n, 1),
+        letters / max(n, 1),
         len(_SYMBOL.findall(text)) / max(chars, 1),
-        sum(c.isdigit() for c in text) / max(chars, 1),
-        sum(map(len, words)) / max(chars, 1),
+        digits / max(chars, 1),
+        letters / max(chars, 1),
         sum(line[-1] in ".!?…\"”»)" for line in lines) / max(len(lines), 1),
-        float(np.log1p(n / max(len(lines), 1))),
-        share[lang],
-        sum(len(line) for line, p in zip(by_line, prose) if p) / max(n, 1),
-        float(np.log(len(set(triples)) / len(triples))) if triples else 0.0,
+        math.log1p(n / max(len(lines), 1)),
+        share,
+        sum(size for size, p in zip(sizes, prose) if p) / max(n, 1),
+        math.log(len(set(zip(words, words[1:], words[2:]))) / triples) if triples else 0.0,
         len(set(lines)) / max(len(lines), 1),
     ]
-    return (lang if share[lang] > 0.03 else "und"), n, values
+    return (lang if share > 0.03 else "und"), n, values
 
 
 _STATS = StructType([StructField("spoken", StringType()), StructField("word_count", LongType()), *[StructField(s, DoubleType()) for s in STATISTICS]])

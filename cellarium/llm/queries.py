@@ -40,7 +40,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Fixed values of the SQL: texts that only stand for "not stated", and the word for drinks without alcohol.
-_SAYS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') not in ('', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'unknownproduct', 'unknownstyle', 'unnamed', 'untitled', 'notstated', 'notavailable', 'notapplicable', 'notspecified', 'notgiven', 'notprovided', 'nonegiven', 'nonestated', 'nostyle', 'noname', 'noinfo', 'tbd', 'tba', 'tbc', 'missing', 'unspecified', 'undefined', 'various', 'seelabel', 'productname', 'namenotset', 'nodescription', 'nodescriptionavailable', 'descriptionnotavailable', 'comingsoon', 'descriptioncomingsoon', 'othernone', 'todo', 'test', 'xxx', 'x', 'styleunknown', 'other', 'misc')"
+_SAYS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') not in ('', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'unknownproduct', 'unknownstyle', 'unnamed', 'untitled', 'notstated', 'notavailable', 'notapplicable', 'notspecified', 'notgiven', 'notprovided', 'nonegiven', 'nonestated', 'nostyle', 'noname', 'noinfo', 'tbd', 'tba', 'tbc', 'unbekannt', 'inconnu', 'desconocido', 'sinnombre', 'ohnenamen', 'sansnom', 'missing', 'unspecified', 'undefined', 'various', 'seelabel', 'productname', 'namenotset', 'nodescription', 'nodescriptionavailable', 'descriptionnotavailable', 'comingsoon', 'descriptioncomingsoon', 'othernone', 'todo', 'test', 'xxx', 'x', 'styleunknown', 'other', 'misc')"
 
 
 @query(
@@ -141,3 +141,14 @@ def p9_selection(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     return mixing.share_report(mixing.select_mix(mixing.sized_documents(table(spark, d, "documents"), count_tokens(F.col("text"))), targets), targets)
+
+
+@query(
+    "p9_rules",
+    """with t as (select mix_id, source, sum(target_share) s, max(max_repeats) m from mix_targets where target_share > 0 group by 1, 2), d as (select distinct source from documents where text <> '' and source is not null),
+    h as (select t.mix_id, t.source, case when d.source is not null and m > 0 then s else 0 end s from t left join d on d.source = t.source)
+    select mix_id, source, round(coalesce(s / nullif(sum(s) over (partition by mix_id), 0), 0), 6)::double wanted_share, true near, 0 repeated from h""",
+)
+def p9_rules(spark: SparkSession, d: str) -> DataFrame:
+    targets, sized = table(spark, d, "mix_targets"), mixing.sized_documents(table(spark, d, "documents"), count_tokens(F.col("text")))
+    return mixing.broken_rules(mixing.select_mix(sized, targets), sized, targets)
