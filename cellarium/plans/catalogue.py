@@ -147,7 +147,7 @@ def fn_personal_score(spark, d):
     return scored.select("vec_id", F.round("s", 6).alias("score"), ranking.band(F.col("s")).alias("band"))
 
 
-@query("fn_evidence_tier", f"select id, case when src is null or src = 'style_prior' then 2 when json_extract_string(record, '$.sensory.confidence')::double >= 0.45 then 0 else 1 end tier from (select g.record, p.* from ({PRODUCTS}) p join gold g using (id))")
+@query("fn_evidence_tier", f"select id, case when src in ('review_consensus', 'reconciled') then 0 when src in ('llm_profile', 'chemistry_prior') and json_extract_string(record, '$.sensory.confidence')::double >= 0.45 then 1 else 2 end tier from (select g.record, p.* from ({PRODUCTS}) p join gold g using (id))")
 def fn_evidence_tier(spark, d):
     g = entities(spark, d, "product")
     j = lambda p: F.get_json_object("record", p)
@@ -334,9 +334,3 @@ def rank_catalog(spark, d):
     items = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
     c = taste.centroids(s, items, "embedding")
     return ranking.rank_for_users(c, items, s, 10).select("user_id", "rank", F.col("k").alias("vec_id"), F.round("score", 6).alias("score"))
-
-
-@query("rank_family", "select label, vec_id from (select label, vec_id, row_number() over (partition by label order by embedding[1]::double desc, vec_id) k from embeddings) where k <= 3")
-def rank_family(spark, d):
-    k = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0].cast("double")), "vec_id"))
-    return table(spark, d, "embeddings").withColumn("rank", k).where("rank <= 3").select("label", "vec_id")
