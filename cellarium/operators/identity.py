@@ -81,6 +81,34 @@ AGE = frozenset("ans ano anos anni jahre jahren year years yr yrs old aged".spli
 BRAND_LIKENESS = 0.8
 
 
+def is_generic(words: Column) -> Column:
+    """Whether a name's words are all words of style, so that it names a class."""
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*STYLE))
+
+
+def is_anonymous(words: Column) -> Column:
+    """Whether no word of four letters or more tells more than a style."""
+    return ~F.exists(words, lambda w: (F.length(w) >= 4) & ~w.isin(*STYLE))
+
+
+def identifying_tokens(name: Column) -> Column:
+    """Distinct words of three letters or more that tell more than a style, and numbers of four digits or more."""
+    tokens = F.regexp_extract_all(T.fold(name), F.lit("([a-z]+|[0-9]+)"), 1)
+    telling = lambda t: (F.length(t) >= 3) & t.rlike("^[a-z]") & ~t.isin(*STYLE) | t.rlike("^[0-9]{4,}$")
+    return F.array_distinct(F.filter(tokens, telling))
+
+
+def without_legal_form(brand: Column) -> Column:
+    return F.trim(F.regexp_replace(brand, r"(?i)[ ,]+(llc|inc\.?|ltd\.?|co\.?|corp\.?|company)$", ""))
+
+
+def shown_name(name: Column, brand: Column) -> Column:
+    """A product's name without the brand that stands beside it anyway."""
+    n, b = F.trim(name), F.coalesce(brand, F.lit(""))
+    repeats = (b != "") & (F.lower(n) != F.lower(b)) & F.startswith(F.lower(n), F.concat(F.lower(b), F.lit(" ")))
+    return F.when(repeats, F.trim(F.substring(n, F.length(b) + 1, F.length(n)))).otherwise(n)
+
+
 @F.pandas_udf(DoubleType())
 def letters_likeness_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two texts by the letters they hold in order of the alphabet."""

@@ -34,18 +34,6 @@ def agg_families_spoken(spark, d):
     return said.unionByName(seen).distinct()
 
 
-@query("src_fraction_join", "select p_partkey, s_name, round(p_size / 100.0 * 100, 1)::double pct from part left join supplier on s_suppkey = p_partkey")
-def src_fraction_join(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), "s_name")
-    return table(spark, d, "part").join(s, "p_partkey", "left").select("p_partkey", "s_name", F.round(F.col("p_size") / 100.0 * 100, 1).alias("pct"))
-
-
-@query("src_optional_sample", "select n.n_nationkey, min(s.s_name) some_supplier from nation n left join supplier s on s_nationkey = n_nationkey group by 1")
-def src_optional_sample(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_name")
-    return table(spark, d, "nation").join(s, "n_nationkey", "left").groupBy("n_nationkey").agg(F.min("s_name").alias("some_supplier"))
-
-
 @query("er_duplicate_merges", f"""with p as (select p.id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(replace(replace(replace(replace(lower(strip_accents(p.name)), '''', ''), '’', ''), '‘', ''), '`', ''), '[^a-z]+'), lambda w: w <> ''))), ' ') w, regexp_replace(p.name, '[^0-9]', '', 'g') dg, lower(b.name) brand
    from ({PRODUCTS}) p left join (select id, name from gold where entity_type = 'brand') b on p.brand_id = b.id where p.name is not null),
   k as (select w, dg, min(brand) lo, max(brand) hi from p where w <> '' group by 1, 2), q as (select id, w, dg, coalesce(brand, case when lo = hi then lo end) ky from p join k using (w, dg)),

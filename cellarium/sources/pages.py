@@ -79,6 +79,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, na
     return rows if names is None else rows.where(F.col("name").isin(names))
 
 
+def read_json_documents(spark: SparkSession, path: str, schema: StructType | str, limit: int | None = None) -> DataFrame:
+    """Documents that span lines, one array or object a file; damaged files give no row."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return rows if limit is None else rows.limit(limit)
+
+
 def scanned_candidates(logs: DataFrame) -> DataFrame:
     """``ts, product_id, score`` of every candidate in scan logs."""
     return logs.select("ts", F.explode("candidates").alias("c")).select("ts", "c.product_id", "c.score")

@@ -36,6 +36,11 @@ def allowed_events(stream: DataFrame, names: list[str]) -> DataFrame:
     return stream.where(F.col("event_type").isin(names)).withColumn("received_at", F.current_timestamp())
 
 
+def once_per_id(stream: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
+    """Rows of a stream without those sent again within ``late``; older ids are forgotten."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
 def count_sightings(events: pd.DataFrame, last: pd.Timestamp | None, n: int, gap: pd.Timedelta) -> tuple[pd.Timestamp | None, int]:
     """Last sighting and number of sightings after these events; one within the gap extends the last."""
     for ts in events["ts"].sort_values():
