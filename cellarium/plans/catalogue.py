@@ -30,20 +30,21 @@ def txt_name_tokens(spark, d):
 _TRI = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: ('  ' || lower({0}) || ' ')[i:i+2]))"
 
 
+_PLAIN = "translate(strip_accents({0}), chr(39) || '’‘`', '')"
 _NAMES = "select distinct name from gold where entity_type = 'producer' and name is not null"
 
 
-@query("txt_trigrams", f"select name, list_sort({_TRI.format('strip_accents(name)')}) grams from ({_NAMES})")
+@query("txt_trigrams", f"select name, list_sort({_TRI.format(_PLAIN.format('name'))}) grams from ({_NAMES})")
 def txt_trigrams(spark, d):
     return entities(spark, d, "producer").where("name is not null").select("name").distinct().select("name", F.array_sort(T.trigrams(F.col("name"))).alias("grams"))
 
 
-@query("txt_word_trigrams", f"select name, list_sort(list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(strip_accents(name)), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i+2]))))) grams from ({_NAMES})")
+@query("txt_word_trigrams", f"select name, list_sort(list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({_PLAIN.format('name')}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i+2]))))) grams from ({_NAMES})")
 def txt_word_trigrams(spark, d):
     return entities(spark, d, "producer").where("name is not null").select("name").distinct().select("name", F.array_sort(T.word_trigrams(F.col("name"))).alias("grams"))
 
 
-@query("txt_trigram_similarity", f"""with g as (select distinct product.style k from demo_products where product.style is not null), a as (select k, {_TRI.format('strip_accents(k)')} t from g), b as (select label l, {_TRI.format('strip_accents(label)')} t from canon_list where list_name = 'style')
+@query("txt_trigram_similarity", f"""with g as (select distinct product.style k from demo_products where product.style is not null), a as (select k, {_TRI.format(_PLAIN.format('k'))} t from g), b as (select label l, {_TRI.format(_PLAIN.format('label'))} t from canon_list where list_name = 'style')
   select k, l, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 9) sim from a, b where len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) >= 0.5""")
 def txt_trigram_similarity(spark, d):
     # Styles and labels meet on the trigrams they share; the counts of the join are the similarity.
