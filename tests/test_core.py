@@ -147,7 +147,8 @@ def test_lines_find_the_same_names_by_their_rarest_word_as_by_all(spark):
     for i, t in lines:
         hits = [(-round(sum(math.log1p(total / df[w]) for w in split(t) & split(name)), 6), k) for k, name in names if split(t) & split(name)]
         want |= {(i, k, -e) for e, k in sorted(hits)[:3]}
-    assert {tuple(r) for r in retrieval.match_lines(q, n, 3).select("qid", "id", "evidence").collect()} == want
+    for spare in (0, 2, retrieval.SPARE):
+        assert {tuple(r) for r in retrieval.match_lines(q, n, 3, spare).select("qid", "id", "evidence").collect()} == want
     garbled = retrieval.find_candidates(spark.createDataFrame([(1, "hous barm")], "qid int, text string"), n)
     assert garbled.count() == 0 and retrieval.find_candidates(q, n.limit(0)).count() == 0
 
