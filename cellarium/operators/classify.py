@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +40,85 @@ def ingredient_kind(name: Column) -> Column:
     return F.coalesce(*[F.when(name.rlike(p), F.lit(k)) for k, p in KIND_RULES], F.lit("other"))
 
 
+#: Texts of one block, and difference of two coordinates that rounding may cause.
+BLOCK, CLOSE = 500_000, 1e-9
+
+
 def overlap_argmax(texts: DataFrame, regions: DataFrame, width: float, height: float) -> DataFrame:
     """``t, k, a``: the region each text overlaps most; ties to the smaller region.
 
-    Every region is listed in all the cells of a grid of its own size that it reaches into, every text
-    likewise, so two boxes that overlap anywhere meet in at least one cell.
+    A text lies in one cell of a grid of the boxes' size, and a region is known in that cell and the
+    eight around it, so that every two boxes that overlap meet in one task. Texts of one place are asked
+    once and regions of one place are one, the smallest. A task searches from the nearest row of regions
+    outwards and in each row from the nearest on either side, until nothing further can overlap more.
     """
-    cells = lambda c, size: F.sequence(F.floor(F.col(c) / size), F.floor((F.col(c) + size) / size))
-    spread = lambda df, x, y: df.withColumn("column", F.explode(cells(x, width))).withColumn("row", F.explode(cells(y, height)))
-    r = spread(regions.select("k", F.col("x").alias("rx"), F.col("y").alias("ry")), "rx", "ry")
-    both = spread(texts.select("t", "x", "y"), "x", "y").join(r, ["column", "row"])
-    side = lambda a, b, size: F.greatest(F.lit(0.0), F.least(a, b) + size - F.greatest(a, b))
-    area = side(F.col("x"), F.col("rx"), width) * side(F.col("y"), F.col("ry"), height)
-    best = both.withColumn("a", area).where("a > 0").groupBy("t").agg(F.min(F.struct((-F.col("a")).alias("a"), "k")).alias("m"))
-    return best.select("t", F.col("m.k").alias("k"), F.round(-F.col("m.a"), 4).alias("a"))
+    cell = lambda c, size: F.floor(F.col(c) / size)
+    around = lambda c, size: F.explode(F.sequence(cell(c, size) - 1, cell(c, size) + 1))
+    place = [F.col(c).cast("double").alias(c) for c in ("x", "y")]
+    t, r = (df.select(k, *place).where(f"{k} is not null and abs(x) < double('inf') and abs(y) < double('inf')") for df, k in ((texts, "t"), (regions, "k")))
+    asked = t.select("x", "y").distinct().withColumn("column", cell("x", width)).withColumn("row", cell("y", height))
+    # A full cell is cut into blocks of texts; each of them meets all regions of the cell.
+    blocks = asked.groupBy("column", "row").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asked = asked.join(blocks, ["column", "row"]).select("x", "y", "column", "row", F.pmod(F.xxhash64("x", "y"), "blocks").alias("block"))
+    offered = r.groupBy("x", "y").agg(F.min("k").alias("k")).withColumn("column", around("x", width)).withColumn("row", around("y", height))
+    offered = offered.join(blocks, ["column", "row"]).select("x", "y", "k", "column", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+
+    def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = a["x"].to_numpy(), a["y"].to_numpy()
+        best, which = most_overlap(x, y, b["x"].to_numpy(), b["y"].to_numpy(), b["k"].to_numpy(), width, height)
+        return pd.DataFrame({"x": x, "y": y, "k": which, "a": best})[best > 0]
+
+    keys = ["column", "row", "block"]
+    kind = regions.schema["k"].dataType.simpleString()
+    found = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(search, f"x double, y double, k {kind}, a double")
+    return t.join(found, ["x", "y"]).select("t", "k", F.round("a", 4).alias("a"))
+
+
+def most_overlap(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, k: np.ndarray, width: float, height: float) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest overlap of every text with a region, 0 if there is none, and the smallest region that has it."""
+    best, which = np.zeros(len(x)), np.zeros(len(x), dtype=k.dtype)
+    if not len(x) or not len(k):
+        return best, which
+    order = np.lexsort((rx, ry))
+    rx, ry, k = rx[order], ry[order], k[order]
+    rows, first = np.unique(ry, return_index=True)
+    last = np.append(first[1:], len(ry))
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        """Texts ``i`` meet the regions ``j``."""
+        a = np.maximum(0.0, np.minimum(x[i], rx[j]) + width - np.maximum(x[i], rx[j])) * np.maximum(0.0, np.minimum(y[i], ry[j]) + height - np.maximum(y[i], ry[j]))
+        better = (a > best[i]) | (a == best[i]) & (a > 0) & (k[j] < which[i])
+        best[i[better]], which[i[better]] = a[better], k[j[better]]
+
+    def scan(i: np.ndarray, row: np.ndarray) -> None:
+        """Texts ``i`` meet the nearest regions of their ``row`` on either side, and all as near but for rounding."""
+        start = np.empty(len(i), dtype=np.int64)
+        by_row = np.argsort(row, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(row[by_row]) != 0, True])
+        for lo, hi in zip(at[:-1], at[1:]):
+            mine, r = by_row[lo:hi], row[by_row[lo]]
+            start[mine] = first[r] + np.searchsorted(rx[first[r] : last[r]], x[i[mine]])
+        for step, j in ((-1, start - 1), (1, start)):
+            left, nearest = np.arange(len(i)), None
+            while len(left):
+                inside = (j[left] >= first[row[left]]) & (j[left] < last[row[left]])
+                left = left[inside]
+                away = np.abs(rx[j[left]] - x[i[left]])
+                if nearest is None:
+                    nearest = np.full(len(i), np.inf)
+                    nearest[left] = away
+                left = left[away <= nearest[left] + CLOSE]
+                meet(i[left], j[left])
+                j[left] += step
+
+    middle = np.searchsorted(rows, y)
+    for step, row in ((-1, middle - 1), (1, middle)):
+        i = np.arange(len(x))
+        while len(i):
+            i = i[(row[i] >= 0) & (row[i] < len(rows))]
+            most = width * (height - np.abs(rows[row[i]] - y[i]))
+            i = i[(most > 0) & (most >= best[i] - CLOSE * width * height)]
+            if len(i):
+                scan(i, row[i])
+            row[i] += step
+    return best, which
