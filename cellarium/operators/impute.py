@@ -7,6 +7,10 @@ own group the one whose prediction is nearest, otherwise one of the rows of the
 predictions are nearest, otherwise one of the nearest rows of all. Donors are real rows and are
 named in the result; which of several near ones is taken depends on a hash of the row's id.
 
+What a cell has is joined by broadcast up to :data:`MOST_CELLS` cells and shuffled beyond, so that rows
+only travel by their group; and only rows of groups that have both a value and a gap travel to be
+compared inside their group.
+
 The range search never sees rows: donors are first reduced to a few per cell and rounded prediction,
 so a cell of any size becomes at most as many points as the rounded scale has steps, times a few.
 Points are numbered in order of prediction, and the neighbours on either side come by their number.
@@ -27,6 +31,8 @@ SHRINK = 3.0
 STEP = 0.01
 #: Donors kept per cell and step, donors looked at on either side, and steps that one may lie further off than the nearest.
 PER_STEP, POOL, REACH = 5, 5, 10
+#: Cells whose figures are broadcast; more of them are joined by a shuffle.
+MOST_CELLS = 50_000
 
 
 def bare(text: Column) -> Column:
@@ -34,22 +40,31 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(unaccent(F.lower(text)), r"[^\p{L}\p{N}]+", "")
 
 
+def _small(cells: DataFrame) -> DataFrame:
+    """A table with one row a cell, to be broadcast if it is short."""
+    cells = materialise(cells)
+    return F.broadcast(cells) if cells.count() <= MOST_CELLS else cells
+
+
 def predict(rows: DataFrame) -> DataFrame:
-    """Add ``pred`` to rows with ``id, y, x, grp, cell``: y from the cell's line in x and the group's mean.
+    """Add ``pred`` and ``open`` to rows with ``id, value, y, x, grp, cell``.
 
-    Null ``grp`` means no group, null ``cell`` its own cell. Without any ``y`` the prediction is null.
+    ``pred`` is y from the cell's line in x and the group's mean, ``open`` says that the group has rows
+    with a value and rows without. Null ``grp`` means no group, null ``cell`` its own cell. Without any
+    ``y`` the prediction is null.
     """
     rows = rows.withColumn("cell", F.coalesce("cell", F.lit(""))).withColumn("grp", F.coalesce("grp", F.concat(F.lit("\u0001"), F.col("id").cast("string"))))
     seen = rows.where("y is not null")
     per_cell = seen.groupBy("cell").agg(F.avg("y").alias("cy"), F.regr_slope("y", "x").alias("slope"), F.regr_avgx("y", "x").alias("cx"), F.regr_avgy("y", "x").alias("cyx"), F.regr_r2("y", "x").alias("r2"), F.min("y").alias("low"), F.max("y").alias("high"))
-    per_group = seen.groupBy("grp").agg(F.avg("y").alias("gy"), F.count("*").alias("gn"))
+    gap = F.col("value").isNull()
+    per_group = rows.groupBy("grp").agg(F.avg("y").alias("gy"), F.count("y").alias("gn"), (F.min(gap) != F.max(gap)).alias("open"))
     overall = seen.agg(F.avg("y").alias("ay")).scalar()
     line = F.when((F.col("r2") > 0) & F.col("x").isNotNull(), F.least(F.greatest(F.col("cyx") + F.col("slope") * (F.col("x") - F.col("cx")), "low"), "high"))
-    joined = rows.join(per_cell, "cell", "left").join(per_group, "grp", "left").withColumn("ay", overall)
-    base = F.coalesce(line, "cy", "ay")
+    # The cell's figures end in one number before the rows travel by their group.
+    known = rows.join(_small(per_cell), "cell", "left").withColumn("base", F.coalesce(line, "cy", overall)).drop("cy", "slope", "cx", "cyx", "r2", "low", "high")
     n = F.coalesce("gn", F.lit(0))
-    pred = (n * F.coalesce("gy", F.lit(0.0)) + SHRINK * base) / (n + SHRINK)
-    return joined.withColumn("pred", pred).drop("cy", "slope", "cx", "cyx", "r2", "low", "high", "gy", "gn", "ay")
+    pred = (n * F.coalesce("gy", F.lit(0.0)) + SHRINK * F.col("base")) / (n + SHRINK)
+    return known.join(per_group, "grp", "left").withColumn("pred", pred).drop("base", "gy", "gn")
 
 
 def _nearest(points: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
@@ -85,9 +100,9 @@ def match_means(rows: DataFrame) -> DataFrame:
     filled as often as it appears.
     """
     p = predict(materialise(rows.select("id", "value", "y", "x", "grp", "cell")))
-    p = materialise(p.select("id", "value", "grp", "cell", "pred", F.round(F.col("pred") / STEP).cast("long").alias("step")))
+    p = materialise(p.select("id", "value", F.when(F.col("open"), F.col("grp")).alias("grp"), "cell", "pred", F.round(F.col("pred") / STEP).cast("long").alias("step")))
     missing, donors = p.where("value is null"), p.where("value is not null")
-    left = missing.join(_own(donors, missing.select("grp", "step").distinct()), ["grp", "step"], "left")
+    left = missing.join(_own(donors.where("grp is not null"), missing.where("grp is not null").select("grp", "step").distinct()), ["grp", "step"], "left")
     asked = left.where("g is null").select("cell", "step").distinct()
     salt = F.pmod(F.xxhash64("id"), F.lit(PER_STEP))
     points = donors.groupBy("cell", "step", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.col("value"))).alias("donor"))
@@ -111,15 +126,16 @@ def _maker_lean(rows: DataFrame) -> DataFrame:
     """
     # Sums only feed a covariate, so their keys are hashes: short rows, and two keys that clash do no harm.
     rows = rows.withColumn("drink", F.xxhash64(F.coalesce("grp", F.concat(F.lit("\u0001"), F.col("id").cast("string")))))
-    seen = rows.where("y is not null and cell is not null and maker is not null")
-    lean = materialise(seen.groupBy("maker", "drink", F.xxhash64("cell").alias("cell")).agg(F.sum("y").alias("s"), F.count("*").alias("n")))
-    mean = lean.groupBy("cell").agg((F.sum("s") / F.sum("n")).alias("cy"))
-    off = lean.join(mean, "cell").withColumn("s", F.col("s") - F.col("n") * F.col("cy"))
-    per_group = off.groupBy("maker", "drink").agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
-    per_maker = per_group.groupBy("maker").agg(F.sum("gs").alias("ms"), F.sum("gn").alias("mn"))
-    joined = rows.join(per_group.drop("maker"), "drink", "left").join(per_maker, "maker", "left")
-    others = F.col("mn") - F.coalesce("gn", F.lit(0))
-    return joined.withColumn("x", F.when(others > 0, (F.col("ms") - F.coalesce("gs", F.lit(0.0))) / others)).drop("drink", "gs", "gn", "ms", "mn")
+    y = F.when(F.col("cell").isNotNull(), F.col("y"))
+    lean = materialise(rows.where("maker is not null").groupBy("maker", "drink", F.xxhash64("cell").alias("cell")).agg(F.sum(y).alias("s"), F.count(y).alias("n")))
+    mean = _small(lean.where("n > 0").groupBy("cell").agg((F.sum("s") / F.sum("n")).alias("cy")))
+    off = lean.join(mean, "cell", "left").select("maker", "drink", (F.col("s") - F.col("n") * F.col("cy")).alias("s"), "n")
+    # Drinks and makers are summed up after one shuffle, by maker, of one short row a drink and cell.
+    per_drink = off.repartition("maker").groupBy("maker", "drink").agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
+    w = Window.partitionBy("maker")
+    others = F.sum("gn").over(w) - F.col("gn")
+    x = F.when(others > 0, (F.sum("gs").over(w) - F.coalesce("gs", F.lit(0.0))) / others)
+    return rows.join(per_drink.select("maker", "drink", x.alias("x")), ["maker", "drink"], "left").drop("drink", "maker")
 
 
 def fill_strengths(filings: DataFrame) -> DataFrame:
@@ -132,13 +148,12 @@ def fill_strengths(filings: DataFrame) -> DataFrame:
     words = F.array_join(F.array_sort(F.filter(F.split(unaccent(F.lower("class_type")), r"[^\p{L}]+"), lambda w: F.length(w) > 1)), " ")
     rows = filings.select(
         F.col("row_id").alias("id"),
-        v.cast("string").alias("value"),
         v.alias("y"),
         F.when(named, F.concat_ws("|", bare(F.col("brand_name")), bare(F.col("fanciful_name")))).alias("grp"),
         words.alias("cell"),
         F.when(~says_nothing(F.col("brand_name")), F.xxhash64(bare(F.col("brand_name")))).alias("maker"),
     )
-    return match_means(_maker_lean(rows))
+    return match_means(_maker_lean(rows).withColumn("value", F.col("y").cast("string")))
 
 
 def fill_styles(demo: DataFrame) -> DataFrame:

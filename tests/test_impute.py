@@ -44,3 +44,11 @@ def test_donors_inside_a_group_have_the_nearest_prediction(spark):
     rows += [(10, "12", 12.0, 12.0, "g", "c"), (11, "38", 38.0, 38.0, "g", "c"), (20, None, None, 37.0, "g", "c"), (21, None, None, 13.0, "g", "c")]
     df = spark.createDataFrame(rows, "id long, value string, y double, x double, grp string, cell string")
     assert {r["id"]: r["donor_id"] for r in impute.match_means(df).collect()} == {20: 11, 21: 10}
+
+
+def test_more_cells_than_are_broadcast_give_the_same_cells(spark, monkeypatch):
+    rows = [(i, f"House {i % 8}", f"Drink {i % 60}", f"Ale {chr(97 + i % 5) * 2}", None if i % 7 == 0 else 4.0 + (i % 30) / 10) for i in range(210)]
+    f = spark.createDataFrame(rows, "row_id long, brand_name string, fanciful_name string, class_type string, abv double")
+    few = sorted(impute.fill_strengths(f).collect())
+    monkeypatch.setattr(impute, "MOST_CELLS", 2)
+    assert sorted(impute.fill_strengths(f).collect()) == few
