@@ -241,11 +241,45 @@ def _keys() -> Column:
     return F.array_distinct(F.filter(F.concat(word, start, F.array(*one)), lambda k: k.isNotNull()))
 
 
+def letter_bits(text: str) -> Column:
+    """Two bits a letter of a column, for its first and its second place: an edit changes two of them at most, and
+    what a text begins with has none that the text lacks."""
+    return F.expr(f"aggregate(split({text}, ''), 0L, (m, c) -> m | if(m & shiftleft(1L, ascii(c) & 31) = 0, shiftleft(1L, ascii(c) & 31), shiftleft(1L, 32 + (ascii(c) & 31))))")
+
+
+def _keyed(nodes: DataFrame, node: str, side: str) -> DataFrame:
+    """Hashed keys of nodes with what tells whether a pair can be kept."""
+    tell = nodes.select(node, "brand", "words", "num", "upc", (F.length("brand")).alias("letters"), F.floor(F.col("abv_low") * 10).cast("int").alias("low"), F.ceil(F.col("abv_high") * 10).cast("int").alias("high"), F.array_join("words", "").alias("joined"))
+    tell = tell.withColumn("b", letter_bits("brand")).withColumn("n", letter_bits("joined")).withColumn("numbered", F.coalesce("num", F.lit("")) != "").withColumn("coded", F.col("upc").isNotNull())
+    own = ["b", "n", "letters", "low", "high", "numbered", "coded"]
+    keys = tell.select(node, *own, F.explode(_keys()).alias("key"))
+    return keys.select(node, F.xxhash64("key").alias("key"), F.substring("key", 1, 1).isin("s", "b", "e").alias("loose"), *own).select(node, "key", *[F.col(c).alias(f"{side}_{c}") for c in ("loose", *own)])
+
+
+def _can_be_kept() -> Column:
+    """False only for pairs of a key with part of the brand whose prior odds are too low.
+
+    Brands that are not alike take five off, so without a common barcode only names at most two edits
+    apart make up for them, and only with a number or a strength in common (one more if barcodes differ).
+    """
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    differ = lambda c: F.bit_count(a(c).bitwiseXOR(b(c)))
+    lacks = lambda x, y: x.bitwiseAND(F.bitwise_not(y)) == 0
+    brand = (differ("b") <= 0.4 * F.greatest(a("letters"), b("letters")) + 1e-6) | lacks(a("b"), b("b")) | lacks(b("b"), a("b"))
+    off = F.greatest(a("low") - b("high"), b("low") - a("high"))
+    strength = F.when(off.isNull(), 0).when(off <= 4, 1).when(off <= 11, 0).otherwise(-1)
+    speaks = F.when(a("numbered"), 1).otherwise(0) + strength - F.when(a("coded") & b("coded"), 1).otherwise(0)
+    return ~a("loose") | brand | (differ("n") <= 4) & (speaks >= 1)
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct ``l, r`` that share a key, with what both sides say."""
-    a = left.select("l", F.explode(_keys()).alias("key"))
-    b = right.select("r", F.explode(_keys()).alias("key"))
-    pairs = a.join(b, "key").select("l", "r").distinct()
+    """Distinct ``l, r`` that share a key, with what both sides say.
+
+    Many brands begin or end alike, so those keys meet pairs by the square of the rows; pairs whose prior
+    odds can only be too low are dropped where they meet, before they travel.
+    """
+    a, b = _keyed(left, "l", "a"), _keyed(right, "r", "b").withColumnRenamed("key", "b_key")
+    pairs = a.join(b, (F.col("key") == F.col("b_key")) & _can_be_kept()).select("l", "r").distinct()
     side = lambda df, k, x: df.select(k, *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c != k])
     return pairs.join(side(left, "l", "a"), "l").join(side(right, "r", "b"), "r")
 
